@@ -34,3 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(configured or "/tmp/checkpoints")
         current = spark.sparkContext.getCheckpointDir()
     return configured or current
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_gleaner_shipped", False):
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gleaner-")) / "gleaner.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._gleaner_shipped = True
