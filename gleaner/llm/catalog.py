@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, secrets, simhash
+from gleaner.llm import bpe, quality, secrets, simhash
 from gleaner.llm.common import table
 
 
@@ -24,12 +24,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op5_bpe": op5_bpe, "op10_simhash": op10_simhash}
+    return {"op1_secrets": op1_secrets, "op5_bpe": op5_bpe, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
