@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, quality, secrets, simhash
+from gleaner.llm import bpe, mixing, quality, secrets, simhash
 from gleaner.llm.common import table
 
 
@@ -15,6 +16,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(
         table(spark, sf_dir, "documents"),
@@ -33,7 +38,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op5_bpe": op5_bpe, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {
+        "op1_secrets": op1_secrets,
+        "op4_mixing": op4_mixing,
+        "op5_bpe": op5_bpe,
+        "op9_quality": op9_quality,
+        "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -227,3 +227,16 @@ def sketch_classes(
     linked = components(links)
     rooted = nodes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return found.join(rooted, "fp").select("id", "fp", "root")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of similar documents, all columns as they were.
+
+    The row kept is the one of smallest id.  Rows are told apart by id and
+    text, so rows that repeat both, or have no id, count as copies too.  Texts
+    without a word are copies of each other.
+    """
+    docs = docs.withColumn("__row", F.struct(F.coalesce(F.col(id_col).cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text_of(text_col)).alias("h")))
+    found = sketch_classes(docs, "__row", text_col, words, similarity)
+    kept = found.where("id = root").select(F.col("id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
