@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, mixing, quality, secrets, simhash
+from gleaner.llm import bpe, chat, mixing, quality, secrets, simhash
 from gleaner.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op4_mixing": op4_mixing,
         "op5_bpe": op5_bpe,
+        "op6_chat": op6_chat,
         "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
