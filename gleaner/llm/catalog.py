@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, chat, mixing, quality, secrets, simhash
+from gleaner.llm import bpe, chat, media, mixing, quality, secrets, simhash, urls
 from gleaner.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"), keep_media=False)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,9 +52,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op3_urls": op3_urls,
         "op4_mixing": op4_mixing,
         "op5_bpe": op5_bpe,
         "op6_chat": op6_chat,
+        "op8_media": op8_media,
         "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
         "pipeline": corpus_pipeline.run,
