@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, chat, media, mixing, quality, secrets, simhash, urls
+from gleaner.llm import ann, bpe, chat, media, mixing, quality, secrets, simhash, urls
 from gleaner.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), keep_media=False)
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_bpe": op5_bpe,
         "op6_chat": op6_chat,
+        "op7_ann": op7_ann,
         "op8_media": op8_media,
         "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
