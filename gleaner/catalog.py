@@ -5,15 +5,178 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner import catalog_sql as SQL
+from gleaner.functions import text as X
+from gleaner.operators import pack as P
+from gleaner.operators import score as C
+from gleaner.operators import segment as S
+from gleaner.plans import query as Q
+from gleaner.sources import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+WORDS = "the|and|tion"
+CODE = "total|size|return"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.with_lines(T.document_corpus(spark, sf_dir))
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+def c_line_split_stats(spark, sf_dir):
+    lines = S.exploded(_documents(spark, sf_dir))
+    return lines.groupBy("file").agg(
+        F.count("*").alias("n_lines"),
+        F.sum(F.length("line")).alias("n_chars"),
+        F.sum((F.length("line") + 1 > 5000).cast("bigint")).alias("n_long"),
+        F.sum(X.estimated_tokens(F.col("line"))).alias("tokens"),
+    )
+
+
+def c_match_lines(spark, sf_dir):
+    hits = S.with_hits(_documents(spark, sf_dir), Q.compile_query(WORDS).patterns)
+    return hits.select("file", F.explode("hits").alias("h")).select(
+        "file", F.col("h.no").cast("bigint").alias("line_no"), F.array_join(F.transform("h.found", lambda i: i.cast("string")), ",").alias("found")
+    )
+
+
+def _groups(spark, sf_dir, gap):
+    return S.with_groups(S.with_hits(_documents(spark, sf_dir), Q.compile_query(WORDS).patterns), gap)
+
+
+def d_match_groups(spark, sf_dir):
+    return _groups(spark, sf_dir, 2).select("file", *_long("first", "last"), F.size("targets").cast("bigint").alias("hits"), F.size("found").cast("bigint").alias("matches"))
+
+
+def d_context_windows(spark, sf_dir):
+    rows = S.windows(_groups(spark, sf_dir, 2), 1, 1)
+    code = S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi")))
+    return rows.select("file", *_long("lo", "hi"), code.alias("code")).select("file", "lo", "hi", X.content_hash(F.col("code")).alias("hash"), X.estimated_tokens(F.col("code")).alias("tokens"))
+
+
+def d_merged_windows(spark, sf_dir):
+    hits = S.with_hits(_documents(spark, sf_dir), ["ing"])
+    return S.windows(S.with_groups(hits, 2 * 2 + 1), 2, 2).select("file", *_long("lo", "hi"))
+
+
+def d_sliding_windows(spark, sf_dir):
+    return S.sliding_windows(_documents(spark, sf_dir)).select("file", *_long("lo", "hi"))
+
+
+def e_semantic_tokens(spark, sf_dir):
+    text = T.table(spark, sf_dir, "documents").select("text").unionByName(T.code_lines(spark, sf_dir).select(F.col("line").alias("text")))
+    return text.select(F.explode(X.sem_tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def e_exact_token_df(spark, sf_dir):
+    docs = T.document_corpus(spark, sf_dir)
+    tokens = docs.select("file", F.explode(X.exact_tokens(F.coalesce("text", F.lit("")))).alias("token"))
+    return tokens.groupBy("file", "token").agg(F.count("*").alias("tf")).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def e_scalar_functions(spark, sf_dir):
+    p = T.code_lines(spark, sf_dir)
+    return p.select(
+        "file", "line_no", X.basename(F.col("file")).alias("name"), X.language(F.col("file")).alias("language"), X.is_test_path(F.col("file")).alias("test"),
+        X.is_vendored(F.col("file")).alias("vendored"), X.is_comment(F.col("line")).alias("comment"), F.size(X.rare_terms(F.col("line"))).cast("bigint").alias("rare"),
+        X.safe_name(F.col("line")).alias("safe"), X.content_hash(F.col("line")).alias("hash"),
+    )
+
+
+def c_definition_lines(spark, sf_dir):
+    return T.code_lines(spark, sf_dir).where(X.is_definition(F.col("line"))).select("file", "line_no", X.symbol_of(F.col("line")).alias("symbol"))
+
+
+def c_symbols(spark, sf_dir):
+    found = T.code_lines(spark, sf_dir).select(X.symbol_of(F.col("line")).alias("symbol")).where("symbol is not null")
+    return found.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+def c_file_map(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from gleaner.functions import fixed
+
+    lines = T.code_lines(spark, sf_dir).where(F.col("line").rlike(fixed.MAP_LINE) & (F.length("line") <= 200))
+    shown = lines.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("line_no"))).where("r <= 60")
+    body = F.rtrim("line")
+    cut = F.when(F.length(body) > 110, F.concat(F.substring(body, 1, 110), F.lit(" ..."))).otherwise(body)
+    return shown.select("file", "line_no", F.concat(F.lpad((F.col("line_no") + 1).cast("string"), 6, " "), F.lit("  "), cut).alias("shown"))
+
+
+def d_definition_blocks(spark, sf_dir):
+    return S.definition_blocks(T.code_corpus(spark, sf_dir)).select("file", *_long("lo", "hi"))
+
+
+def d_python_blocks(spark, sf_dir):
+    return S.python_blocks(T.code_corpus(spark, sf_dir)).select("file", *_long("line_no", "lo", "hi"))
+
+
+def _scored(corpus, pattern, before, after):
+    query = Q.compile_query(pattern)
+    return C.scored(C.regions(S.windows(S.with_groups(S.with_hits(corpus, query.patterns), before + after), before, after)), query.patterns)
+
+
+def f_chunk_scores(spark, sf_dir):
+    rows = _scored(_documents(spark, sf_dir), WORDS, 1, 1)
+    return rows.select("file", *_long("line_start", "line_end", "matches"), F.col("score").cast("bigint").alias("score"), F.array_join("rank_reason", ",").alias("reasons"), "tokens")
+
+
+def _code_scored(spark, sf_dir):
+    return _scored(T.code_corpus(spark, sf_dir), CODE, 1, 1)
+
+
+def f_chunk_scores_code(spark, sf_dir):
+    rows = _code_scored(spark, sf_dir)
+    return rows.select("file", *_long("line_start", "line_end", "matches"), F.col("score").cast("bigint").alias("score"), F.array_join("rank_reason", ",").alias("reasons"))
+
+
+def g_exact_dups(spark, sf_dir):
+    rows = _scored(_documents(spark, sf_dir), WORDS, 1, 1)
+    return C.without_exact_duplicates(rows).select("file", "hash", *_long("line_start"))
+
+
+def g_near_dups(spark, sf_dir):
+    rows = _scored(_documents(spark, sf_dir), WORDS, 0, 0)
+    return C.without_near_duplicates(rows).select("file", "hash", *_long("line_start"))
+
+
+def g_near_dup_pairs(spark, sf_dir):
+    docs = T.document_corpus(spark, sf_dir).select("file", X.lines_of(F.col("text")).alias("code_lines"), X.content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+    return C.near_duplicate_pairs(docs, 0.3).select("hash_a", "hash_b", F.round("similarity", 6).alias("similarity"))
+
+
+def h_tfidf_rerank(spark, sf_dir):
+    rows = _scored(_documents(spark, sf_dir), WORDS, 1, 1).orderBy(F.desc("score"), "file", "line_start").limit(250)
+    cos = C.tfidf_cosine(rows.withColumn("id", F.concat_ws(":", "file", "line_start")), "id", "code", ["the", "and", "tion", "with", "zzzz"])
+    return cos.select("id", F.round("cosine", 6).alias("cosine"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The words query: match, group, window, score, rank; the report's first twenty rows."""
+    rows = _scored(_documents(spark, sf_dir), WORDS, 2, 2)
+    best = rows.orderBy(F.desc("score"), "file", "line_start").limit(20)
+    return best.select("file", *_long("line_start", "line_end", "matches"), F.col("score").cast("bigint").alias("score"), F.array_join("rank_reason", ",").alias("reasons"), "hash")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        flagship, c_line_split_stats, c_match_lines, c_definition_lines, c_symbols, c_file_map, d_match_groups, d_context_windows, d_merged_windows,
+        d_sliding_windows, d_definition_blocks, d_python_blocks, e_semantic_tokens, e_exact_token_df, e_scalar_functions, f_chunk_scores,
+        f_chunk_scores_code, g_exact_dups, g_near_dups, g_near_dup_pairs, h_tfidf_rerank,
+    )
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in SQL.ORACLES.items() if name in QUERIES}
