@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner import catalog_sql as SQL
+from gleaner.functions import fixed
 from gleaner.functions import text as X
+from gleaner.operators import evaluate as E
+from gleaner.operators import history as H
 from gleaner.operators import pack as P
+from gleaner.operators import recall as R
 from gleaner.operators import score as C
 from gleaner.operators import segment as S
 from gleaner.plans import query as Q
 from gleaner.sources import tables as T
+from gleaner.streaming import sessions as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORDS = "the|and|tion"
@@ -98,10 +105,6 @@ def c_symbols(spark, sf_dir):
 
 
 def c_file_map(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from gleaner.functions import fixed
-
     lines = T.code_lines(spark, sf_dir).where(F.col("line").rlike(fixed.MAP_LINE) & (F.length("line") <= 200))
     shown = lines.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("line_no"))).where("r <= 60")
     body = F.rtrim("line")
@@ -157,6 +160,268 @@ def h_tfidf_rerank(spark, sf_dir):
     return cos.select("id", F.round("cosine", 6).alias("cosine"))
 
 
+QUESTION = "the thing and other then with tion"
+BUDGET = 400
+
+
+def _windows_index(spark, sf_dir):
+    return R.index(S.sliding_windows(_documents(spark, sf_dir)))
+
+
+def i_bm25_topk(spark, sf_dir):
+    best = R.top(R.bm25(*_windows_index(spark, sf_dir), Q.query_tokens(QUESTION)), "s")
+    return best.select("file", *_long("lo", "hi"), F.round("s", 6).alias("s"))
+
+
+def i_recall_code(spark, sf_dir):
+    chunks = R.recall(T.code_corpus(spark, sf_dir), Q.compile_query("green tin 12 almond"))
+    return chunks.select("file", *_long("line_start", "line_end"), "score", "tokens")
+
+
+def i_tfidf_window_topk(spark, sf_dir):
+    best = R.top(R.tfidf_windows(*_windows_index(spark, sf_dir), {w: 1 for w in Q.sem_tokens(QUESTION)}), "s")
+    return best.select("file", *_long("lo", "hi"), F.round("s", 6).alias("s"))
+
+
+def i_dense_topk(spark, sf_dir):
+    sims = R.dense(T.table(spark, sf_dir, "embeddings"), 7).where("sim > 0")
+    return sims.orderBy(F.desc("sim"), "vec_id").limit(40).select("vec_id", F.round("sim", 6).alias("sim"))
+
+
+def _fused(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), X.lines_of(F.col("text")).alias("lines"))
+    whole = docs.where(F.size("lines") > 0).withColumn("lo", F.lit(0)).withColumn("hi", F.size("lines"))
+    lexical = R.bm25(*R.index(whole), Q.query_tokens("the thing and")).select(F.col("file").cast("bigint").alias("id"), "s")
+    sims = R.dense(T.table(spark, sf_dir, "embeddings"), 7).select(F.col("vec_id").alias("id"), "sim")
+    return R.fused(lexical.join(sims.select("id"), "id", "left_semi"), sims, "id")
+
+
+def i_fused_topk(spark, sf_dir):
+    return R.both_tops(_fused(spark, sf_dir), "id").select("id", F.round("fused", 6).alias("fused"), F.round("fd", 6).alias("fd"))
+
+
+def j_churn(spark, sf_dir):
+    return H.churn(T.commits(spark, sf_dir)).select("file", F.round("w", 6).alias("w"))
+
+
+def j_cochange_pairs(spark, sf_dir):
+    return H.pairs(T.commits(spark, sf_dir))
+
+
+def _text_scores(spark, sf_dir):
+    return T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.col("p_size").cast("double").alias("s"))
+
+
+def j_anchor_lift(spark, sf_dir):
+    commits = T.commits(spark, sf_dir)
+    return H.cochange_scores(commits, H.softmax_anchors(_text_scores(spark, sf_dir))).select("file", F.round("c", 6).alias("c"))
+
+
+def j_file_fusion(spark, sf_dir):
+    commits, text = T.commits(spark, sf_dir), _text_scores(spark, sf_dir)
+    fused = H.fused_files(text, H.churn(commits), H.cochange_scores(commits, H.softmax_anchors(text)))
+    return fused.select("file", F.round("s", 6).alias("s"))
+
+
+def j_symbol_graph(spark, sf_dir):
+    items = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("def part_"), F.col("l_partkey").cast("string"), F.lit("(size):")).alias("context"))
+    symbols = H.hunk_symbols(items)
+    anchors = spark.createDataFrame([("part_1",), ("part_2",), ("part_3",)], "anchor string")
+    return H.symbol_expansions(symbols, anchors).select("symbol", F.round("w", 6).alias("w"))
+
+
+def j_shuffled_churn(spark, sf_dir):
+    return H.churn(H.shuffled(T.commits(spark, sf_dir))).select("file", F.round("w", 6).alias("w"))
+
+
+def k_guaranteed_slots(spark, sf_dir):
+    rows = _scored(T.code_corpus(spark, sf_dir), "def", 1, 1).withColumn("query_id", F.lit("q"))
+    return P.reserved_slots(rows).select("slot", "file", *_long("line_start"))
+
+
+def k_running_cap(spark, sf_dir):
+    rows = _scored(_documents(spark, sf_dir), WORDS, 1, 1)
+    return P.running_cap(rows, 200, ["file"], [F.desc("score"), F.col("line_start")]).select("file", *_long("line_start"), "tokens")
+
+
+def k_overlap_anti(spark, sf_dir):
+    rows = S.windows(_groups(spark, sf_dir, 2), 1, 1)
+    chosen = S.sliding_windows(_documents(spark, sf_dir)).where(F.col("lo") % 80 == 0).select("file", (F.col("lo") + 1).alias("line_start"), (F.col("lo") + 3).alias("line_end"))
+    left = P.without_overlaps(rows.select("file", (F.col("lo") + 1).alias("line_start"), F.col("hi").alias("line_end")), chosen)
+    return left.select("file", *_long("line_start", "line_end"))
+
+
+def _candidates(spark, sf_dir):
+    """Candidates of one query for each source: its documents' best chunks and recall windows."""
+    query = F.split("file", "/")[0]
+    fields = ["query_id", "origin", "file", "line_start", "line_end", "score", "tokens", "code", "rank_reason"]
+    chunks = _scored(_documents(spark, sf_dir), WORDS, 1, 1).withColumn("query_id", query).withColumn("origin", F.lit("lexical"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "file", "line_start")
+    lexical = chunks.withColumn("r", F.row_number().over(best)).where(F.col("r") <= fixed.RERANK_HEAD).select(*fields)
+    found = R.bm25(*_windows_index(spark, sf_dir), Q.query_tokens(QUESTION)).withColumn("query_id", query)
+    top = Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), F.desc("file"), F.desc("lo"))
+    few = found.withColumn("r", F.row_number().over(top)).withColumn("top", F.max("s").over(Window.partitionBy("query_id"))).where(F.col("r") <= fixed.RECALL_LIMIT)
+    rows = few.join(_documents(spark, sf_dir), "file").withColumn("code", S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))))
+    recalled = (
+        rows.withColumn("origin", F.lit("recall")).withColumn("line_start", F.col("lo") + 1).withColumn("line_end", F.col("hi"))
+        .withColumn("score", (5 + F.floor(30 * F.col("s") / F.col("top"))).cast("double")).withColumn("tokens", X.estimated_tokens(F.col("code")))
+        .withColumn("rank_reason", F.array(F.lit("semantic-recall"))).select(*fields)
+    )
+    return lexical.unionByName(recalled)
+
+
+def _packed(spark, sf_dir, vague):
+    out = P.pack_queries(_candidates(spark, sf_dir), BUDGET, "auto", vague)
+    return out.select("query_id", "file", *_long("line_start", "line_end"), "score", "tokens", "why")
+
+
+def k_pack_hybrid(spark, sf_dir):
+    return _packed(spark, sf_dir, False)
+
+
+def k_pack_vague(spark, sf_dir):
+    return _packed(spark, sf_dir, True)
+
+
+def l_coverage(spark, sf_dir):
+    rows = _scored(_documents(spark, sf_dir), WORDS, 1, 1)
+    kept = P.running_cap(rows, 60, ["file"], [F.desc("score"), F.col("line_start")]).select("file", "line_start").withColumn("kept", F.lit(1))
+    both = rows.join(kept, ["file", "line_start"], "left")
+    shown = F.sum(F.when(F.col("kept") == 1, F.col("tokens")).otherwise(0))
+    return both.groupBy("file").agg(shown.alias("shown"), (F.sum("tokens") - shown).alias("omitted"), F.round(shown / F.sum("tokens"), 6).alias("coverage"))
+
+
+def l_negative_patterns(spark, sf_dir):
+    patterns = ["the", "tion", "zzzz", "qqqq", "ing"]
+    corpus = _documents(spark, sf_dir)
+    kept = S.windows(S.with_groups(S.with_hits(corpus, ["tion"]), 2), 0, 0).select("file", F.explode(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))).alias("line"))
+    inside = kept.agg(*(F.max(Q.matches(F.col("line"), p)).alias(f"i{k}") for k, p in enumerate(patterns)))
+    anywhere = S.exploded(corpus).agg(*(F.max(Q.matches(F.col("line"), p)).alias(f"a{k}") for k, p in enumerate(patterns)))
+    status = [
+        F.struct(F.lit(p).alias("pattern"), F.when(F.col(f"i{k}"), "found").when(F.col(f"a{k}"), "outside").otherwise("absent").alias("status"))
+        for k, p in enumerate(patterns)
+    ]
+    return inside.crossJoin(F.broadcast(anywhere)).select(F.explode(F.array(*status)).alias("s")).select("s.pattern", "s.status")
+
+
+def l_summary(spark, sf_dir):
+    corpus = _documents(spark, sf_dir)
+    hits = S.with_hits(corpus, Q.compile_query(WORDS).patterns)
+    return hits.agg(F.count("*").alias("files_searched"), F.sum((F.size("hits") > 0).cast("bigint")).alias("files_matched"))
+
+
+def p_focus_terms(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", "text")
+    return ST.focus_terms(rows).select("session", "term", F.round("weight", 6).alias("weight"))
+
+
+def p_first_seen(spark, sf_dir):
+    requests = T.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), ST.path_key(F.get_json_object("props", "$.k")).alias("path"))
+    return ST.first_seen(requests, ["session", "path"], "event_id").select("event_id", "session", "path", "intercepted")
+
+
+def p_intercepts(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents")
+    requests = docs.select(
+        "doc_id", F.when(F.col("doc_id") % 7 == 0, "Grep").otherwise("Read").alias("tool_name"), F.concat("source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".py")).alias("path"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit(1)).alias("offset"), F.lit(None).cast("int").alias("limit"), F.octet_length("text").alias("size"), F.length("text").alias("chars"),
+    )
+    return ST.intercepts(requests).select("doc_id", "path")
+
+
+def r_raw_grep(spark, sf_dir):
+    return E.raw_grep(_documents(spark, sf_dir), ["tion"])
+
+
+def r_whole_files(spark, sf_dir):
+    return E.whole_files(_documents(spark, sf_dir), ["tionn"]).select("file", F.size("lines").cast("bigint").alias("n"))
+
+
+def r_file_rank(spark, sf_dir):
+    return E.ranked_files(_documents(spark, sf_dir), Q.compile_query("src1|tion"))
+
+
+def r_bm25_windows(spark, sf_dir):
+    return E.bm25_windows(_documents(spark, sf_dir), Q.compile_query("the|and|with")).select("file", *_long("lo", "hi"), F.round("s", 6).alias("s"))
+
+
+def r_tfidf_budget(spark, sf_dir):
+    found = R.tfidf_windows(*_windows_index(spark, sf_dir), {w: 1 for w in Q.sem_tokens(QUESTION)}, X.idf_plain)
+    best = found.orderBy(F.desc(F.round("s", 9)), F.desc("file"), F.desc("lo")).limit(50)
+    rows = best.join(_documents(spark, sf_dir), "file").withColumn("tokens", X.estimated_tokens(S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))))).withColumn("one", F.lit(0))
+    kept = P.running_cap(rows, E.RETRIEVER_TOKENS, ["one"], [F.desc(F.round("s", 9)), F.desc("file"), F.desc("lo")])
+    return kept.select("file", *_long("lo", "hi"), "tokens")
+
+
+def r_syntax_chunks(spark, sf_dir):
+    return E.syntax_chunks(T.code_corpus(spark, sf_dir)).select("file", *_long("lo", "hi"))
+
+
+def r_hit_rate(spark, sf_dir):
+    truth = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task"), F.explode(X.line_set(X.lines_of(F.col("text")))).alias("line"))
+    lines = T.table(spark, sf_dir, "documents").select(F.explode(X.line_set(X.lines_of(F.col("text")))).alias("line")).distinct()
+    context = truth.join(lines, "line").select("task", "line")
+    return E.containment(truth, context)
+
+
+def r_refine_terms(spark, sf_dir):
+    return E.refine_terms(T.table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text")), "the|ention")
+
+
+def r_repomap_pagerank(spark, sf_dir):
+    graph = H.pairs(T.commits(spark, sf_dir), "file", 2, 4).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("w"))
+    nodes = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") > 40, 1.0).otherwise(0.05).alias("pers"))
+    return E.page_rank(graph, nodes).select("node", F.round("rank", 9).alias("rank"))
+
+
+def r_router_margin(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.split(F.lower("p_type"), " ").alias("patterns"))
+    return E.router_features(rows).select("query_id", F.round("margin", 6).alias("margin"), (F.col("margin") > 0).alias("vague"))
+
+
+def r_router_logistic(spark, sf_dir):
+    """Training accuracy of a logistic model of the router's kind on labelled documents."""
+    docs = T.table(spark, sf_dir, "documents").join(T.table(spark, sf_dir, "labels"), "doc_id").where("quality is not null")
+    x = docs.select(F.col("quality").cast("double").alias("label"), F.log1p(F.length("text")).alias("a"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("b"), (F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("c"))
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(x).select("label", "features")
+    model = LogisticRegression(maxIter=100, regParam=0.0).fit(rows)
+    return model.transform(rows).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 2).alias("accuracy"))
+
+
+def r_symbol_tasks(spark, sf_dir):
+    return E.symbol_tasks(T.code_lines(spark, sf_dir))
+
+
+def r_comprehension_tasks(spark, sf_dir):
+    return E.comprehension_tasks(T.code_lines(spark, sf_dir))
+
+
+def r_summary(spark, sf_dir):
+    cells = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("strategy"), (F.col("value") > 50).alias("included"), F.col("user_id").alias("tokens"), F.col("value").alias("latency_ms"))
+    rows = E.strategy_summary(cells)
+    return rows.select("strategy", "tasks", F.round("hit_rate", 6).alias("hit_rate"), F.round("tokens", 6).alias("tokens"), F.round("latency_ms", 6).alias("latency_ms"))
+
+
+def x_event_windows(spark, sf_dir):
+    rows = ST.event_windows(T.table(spark, sf_dir, "events"), "6 hours", "3 hours")
+    return rows.select(F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def x_session_windows(spark, sf_dir):
+    rows = ST.session_windows(T.table(spark, sf_dir, "events"), "2 hours")
+    return rows.select("user_id", F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "n")
+
+
+def x_rollup(spark, sf_dir):
+    items = T.table(spark, sf_dir, "lineitem")
+    return items.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+def x_cube(spark, sf_dir):
+    events = T.table(spark, sf_dir, "events").withColumn("big", F.col("value") > 50)
+    return events.cube("event_type", "big").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words query: match, group, window, score, rank; the report's first twenty rows."""
     rows = _scored(_documents(spark, sf_dir), WORDS, 2, 2)
@@ -169,7 +434,12 @@ QUERIES: dict[str, Query] = {
     for f in (
         flagship, c_line_split_stats, c_match_lines, c_definition_lines, c_symbols, c_file_map, d_match_groups, d_context_windows, d_merged_windows,
         d_sliding_windows, d_definition_blocks, d_python_blocks, e_semantic_tokens, e_exact_token_df, e_scalar_functions, f_chunk_scores,
-        f_chunk_scores_code, g_exact_dups, g_near_dups, g_near_dup_pairs, h_tfidf_rerank,
+        f_chunk_scores_code, g_exact_dups, g_near_dups, g_near_dup_pairs, h_tfidf_rerank, i_bm25_topk, i_recall_code, i_tfidf_window_topk,
+        i_dense_topk, i_fused_topk, j_churn, j_cochange_pairs, j_anchor_lift, j_file_fusion, j_symbol_graph, j_shuffled_churn,
+        k_guaranteed_slots, k_running_cap, k_overlap_anti, k_pack_hybrid, k_pack_vague, l_coverage, l_negative_patterns, l_summary,
+        p_focus_terms, p_first_seen, p_intercepts, r_raw_grep, r_whole_files, r_file_rank, r_bm25_windows, r_tfidf_budget, r_syntax_chunks,
+        r_hit_rate, r_refine_terms, r_repomap_pagerank, r_router_margin, r_router_logistic, r_symbol_tasks, r_comprehension_tasks,
+        r_summary, x_event_windows, x_session_windows, x_rollup, x_cube,
     )
 }
 
