@@ -186,32 +186,33 @@ def fit_rates(
 ) -> Mix:
     """Projected gradient over all rows of ``members``; ``weights`` is each domain's share of ``growth`` times all tokens.
 
-    Totals are brought to a common scale by the moment matrix sum t p p^T,
-    which makes the first step exact where no bound is active.  Stops when each
-    total is within ``tolerance`` of all tokens, or after ``max_steps``; a
+    Each step is scaled by the moment matrix sum t p p^T of the documents that
+    are off the bound (and a little of all), which makes it exact where no bound
+    becomes active.  Each step is one aggregate.  Stops when each
+    total is within ``tolerance`` of all tokens, when a step changes none of
+    them by a tenth of that, or after ``max_steps``; a
     target that cannot be reached is approached as nearly as least squares does.
     """
     k = len(model.domains)
     p = [F.col("p")[i] for i in range(k)]
-    row = members.agg(
-        F.sum("tokens"), *(F.sum(F.col("tokens") * p[i] * p[j]) for i in range(k) for j in range(k))
-    ).first()
+    moments = [F.sum(F.when(F.col("free"), F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]
+    whole = members.withColumn("free", F.lit(True)).agg(F.sum("tokens"), *moments).first()
     mix = Mix(model, least)
-    total = float(row[0] or 0)
+    total = float(whole[0] or 0)
     if not total:
         return mix
-    moment = np.array([float(v) for v in row[1:]]).reshape(k, k) / total
-    inverse = np.linalg.inv(moment + 1e-6 * np.trace(moment) * np.eye(k))
+    every = np.array([float(v) for v in whole[1:]]).reshape(k, k) / total
     wanted = np.array(weights, float) / sum(weights) * growth
     mix.wanted = (wanted * total).tolist()
     for _ in range(max_steps):
-        rate = mix.rate(F.col("p"))
-        got = members.select("tokens", "p", rate.alias("r")).agg(*(F.sum(F.col("tokens") * F.col("r") * p[i]) for i in range(k))).first()
-        reached = np.array([float(v) for v in got]) / total
+        rated = members.select("tokens", "p", mix.rate(F.col("p")).alias("r")).withColumn("free", F.col("r") > least)
+        got = [float(v or 0.0) for v in rated.agg(*(F.sum(F.col("tokens") * F.col("r") * p[i]) for i in range(k)), *moments).first()]
+        before, reached = np.array(mix.reached or [np.inf] * k) / total, np.array(got[:k]) / total
         mix.reached = (reached * total).tolist()
-        if np.abs(reached - wanted).max() <= tolerance:
+        if np.abs(reached - wanted).max() <= tolerance or np.abs(reached - before).max() <= tolerance / 10:
             break
-        mix.steps.append([float(f"{v:.12g}") for v in inverse @ (reached - wanted)])
+        metric = np.array(got[k:]).reshape(k, k) / total + 0.02 * every + 1e-6 * np.trace(every) * np.eye(k)
+        mix.steps.append([float(f"{v:.12g}") for v in np.linalg.solve(metric, reached - wanted)])
     return mix
 
 

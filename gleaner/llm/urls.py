@@ -166,7 +166,7 @@ def fit_urls(ruled: DataFrame, url_col: str = "url", max_rows: int = MAX_TRAININ
     y = sample["y"].to_numpy(np.float64)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     x = [lexical_features(u, h, p, table, prior, int(t)) for u, h, p, t in zip(sample["url"], sample["host"], sample["path"], sample["y"], strict=True)]
-    return UrlModel(fit_trees(np.array(x).reshape(len(y), -1), y), table, prior)
+    return UrlModel(fit_trees(np.array(x).reshape(len(y), -1 if len(y) else 1), y), table, prior)
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
