@@ -174,7 +174,7 @@ def i_bm25_topk(spark, sf_dir):
 
 
 def i_recall_code(spark, sf_dir):
-    chunks = R.recall(T.code_corpus(spark, sf_dir), Q.compile_query("green tin 12 almond"))
+    chunks = R.recall(T.code_corpus(spark, sf_dir), Q.compile_query("return the total size of a part"))
     return chunks.select("file", *_long("line_start", "line_end"), "score", "tokens")
 
 
