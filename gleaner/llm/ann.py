@@ -145,7 +145,7 @@ def search(
     """
     rows = usable(vectors, id_col, vector_col)
     distinct = materialise(smallest_ids(rows, k + 1), "ann-distinct")
-    sizes = [r[0] for r in distinct.groupBy(F.size("v")).count().orderBy(F.desc("count")).limit(64).collect()]
+    sizes = [r[0] for r in distinct.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]  # one number for each length of vector
     found = [_search_one_size(distinct.where(F.size("v") == size), rows.where(F.size("v") == size), size, every, k, recall, curves) for size in sizes]
     if not found:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")

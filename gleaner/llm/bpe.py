@@ -28,13 +28,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import text_of
+from gleaner.llm.common import small_batches, text_of
 
-MAX_STATES = 30_000
-MAX_SIMULATED = 300_000
-MAX_PAIRS = 400_000
+MAX_STATES = 20_000
+MAX_SIMULATED = 80_000
+MAX_PAIRS = 150_000
 LOCKSTEP_BYTES = 96
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 DECODE_CHUNK = 65_536
 
 # Latin text can be cut by the standard library's faster engine: over these
@@ -93,7 +93,7 @@ class Transducer:
             found = self.number[key] = len(self.states)
             self.states.append(key)
             if found >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table = np.concatenate([self.table, np.zeros((min(len(self.table), 4096), 257), np.int32)])
         return found
 
     def merge(self, piece: bytes) -> list[bytes]:
@@ -367,6 +367,7 @@ def encode_documents(
     vocabulary is read on the driver and broadcast: a file of fixed size that
     does not grow with the data.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         raw = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(raw)
@@ -394,6 +395,7 @@ def encode_documents(
             columns += [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["id", "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        codec.transducer.simulated.clear()  # the worker lives on, and may serve other stages
 
     schema = f"id {kind}, n_tokens bigint, {'ids array<bigint>, ' if keep_ids else ''}ids_sha256 string, decoded_sha256 string"
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

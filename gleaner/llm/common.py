@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of whole texts small: memory of Python workers follows the batch, not the partition.
+
+    Sets a session setting that holds until the (lazy) plan has run; a smaller one is left alone.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(setting, str(rows))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referred to; it does so as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def exclusive_prefix_sums(values: Column, block: int = 256) -> Column:
     """``[0, v0, v0+v1, ...]`` of an array of numbers, as array<bigint>.
 

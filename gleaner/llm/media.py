@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_of
+from gleaner.llm.common import small_batches, text_of
 
 BLOCK_BYTES = 576
 RATE = 8000
@@ -94,6 +94,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and a digest of them, so equal texts have equal values.  Repeated rows
     repeat; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("body"))
     pair = pa.struct([("frame", pa.int32()), ("hash", pa.int32())])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise, text_of
+from gleaner.llm.common import materialise, small_batches, text_of
 from gleaner.llm.quality import FEATURES, text_features
 
 MAX_TRAINING_ROWS = 8_000
@@ -102,6 +102,7 @@ def fit_domains(
     the rest of the sample, counted in Spark; the driver receives ``keywords``
     words and ``max_rows`` feature vectors.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labelled.where("doc_id is not null and domain is not null")
         .groupBy("doc_id").agg(F.max("domain").alias("__domain"))
@@ -143,6 +144,7 @@ def fit_domains(
 
 def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, tokens, p array<double>`` of every row."""
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +246,7 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, weights: list[float], growth
 
 def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its copies say; all columns as they were.  One pass, no join."""
+    small_batches(docs.sparkSession)
     body = docs.columns.index(text_col)
     marked = docs.withColumn("__draw", F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_of
+from gleaner.llm.common import small_batches, text_of
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "longest_word", "upper", "lower", "digit", "space", "newline",
@@ -227,6 +227,7 @@ def fit_quality(
 
     Only the sample's features reach the driver: ``max_rows`` short vectors.
     """
+    small_batches(docs.sparkSession)
     chosen = F.broadcast(training_labels(labels, target, max_rows, id_col))  # at most max_rows pairs of numbers
     sample = docs.select(docs[id_col].alias(id_col), text_of(docs[text_col]).alias("__text")).join(chosen, id_col)
 
@@ -246,6 +247,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id
 
     Null and empty texts have the all-zero features' score; repeated rows repeat.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +260,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text", least: float = REJECT_BELOW) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, all columns as they were."""
+    small_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

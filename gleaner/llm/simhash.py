@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -27,11 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise, text_of
+from gleaner.llm.common import materialise, release_shuffles, small_batches, text_of
 
 SEED = 42
-BLOCK = 16_384  # shingles hashed and counted at a time, so memory does not follow the text
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+SECTIONS_AT_A_TIME = 3  # whose variants are on disk together
+BLOCK = 8_192  # shingles hashed and counted at a time, so memory does not follow the text
+_MIX = 0x9E3779B97F4A7C15
 
 
 def word_list(text: str) -> list[bytes]:
@@ -57,7 +59,7 @@ def widen(hashes: np.ndarray, lanes: int) -> np.ndarray:
     out = np.empty((len(hashes), lanes), np.uint64)
     out[:, 0] = hashes
     for lane in range(1, lanes):
-        x = hashes + _MIX * np.uint64(lane)
+        x = hashes + np.uint64(_MIX * lane & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out[:, lane] = x ^ (x >> np.uint64(31))
@@ -77,6 +79,7 @@ def fingerprint(text: str, width: int, lanes: int = 1) -> bytes:
 
 def fingerprints(docs: DataFrame, width: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
     """``id, fp`` (binary): one row for each row."""
+    small_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,29 +99,23 @@ def as_long(fp: Column, first_byte: int = 0, size: int = 8) -> Column:
 def ball_edges(keys: DataFrame, bits: int) -> DataFrame:
     """``a, b``: stars over nodes whose keys are within distance 2.
 
-    ``keys`` has ``node, section, key``, where the key's low ``bits`` bits count;
-    nodes of one section with one key meet directly, and different keys through
-    the values within distance 1 of them.
+    ``keys`` has ``node, key`` (numbers), where the key's low ``bits`` bits count
+    and what stands above them must be equal.  Nodes of one key meet directly,
+    and different keys through the values within distance 1 of them.
     """
-    leaders = keys.groupBy("section", "key").agg(F.min("node").alias("leader"))
-    same = (
-        keys.join(leaders, ["section", "key"])
-        .where("node <> leader")
-        .select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    )
+    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"))
+    same = keys.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     masks = F.array(F.lit(0).cast("bigint"), *(F.lit(-(2**63) if i == 63 else 2**i).cast("bigint") for i in range(bits)))
-    met = (
-        leaders.select("section", "key", "leader", F.explode(masks).alias("mask"))
-        .select("section", F.col("key").bitwiseXOR(F.col("mask")).alias("value"), "leader", "key")
-        .groupBy("section", "value")
-        .agg(F.collect_list(F.struct("leader", "key")).alias("members"))  # at most bits + 1
+    across = (
+        leaders.select("leader", "key", F.explode(masks).alias("mask"))
+        .select(F.col("key").bitwiseXOR(F.col("mask")).alias("value"), "leader")
+        .groupBy("value")
+        .agg(F.collect_list("leader").alias("members"))  # at most bits + 1
         .where(F.size("members") > 1)
-        .select(F.array_min("members").alias("low"), F.explode("members").alias("other"))
+        .select(F.array_min("members").alias("b"), F.explode("members").alias("a"))
+        .where("a <> b")
+        .select("a", "b")
     )
-    across = met.where(
-        (F.col("low.leader") != F.col("other.leader"))
-        & (F.bit_count(F.col("low.key").bitwiseXOR(F.col("other.key"))) <= 2)
-    ).select(F.col("other.leader").alias("a"), F.col("low.leader").alias("b"))
     return same.unionByName(across).distinct()
 
 
@@ -172,8 +169,8 @@ def near_duplicate_classes(
         fingerprints(docs, words, 1, id_col, text_col).select("id", as_long(F.col("fp")).alias("key")), "simhash"
     )
     nodes = found.groupBy("key").agg(F.min("id").alias("least"))
-    keys = nodes.select(F.col("key").alias("node"), F.lit(0).alias("section"), "key")
-    linked = components(ball_edges(keys, 64))
+    edges = ball_edges(nodes.select(F.col("key").alias("node"), "key"), 64)
+    linked = components(edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
     rooted = nodes.join(linked, nodes["key"] == linked["node"], "left").select(
         "key", "least", F.coalesce("root", "key").alias("root")
     )
@@ -209,24 +206,27 @@ def sketch_classes(
     group of copies costs one; each of the ``2 * lanes`` sections is ball hashed
     at distance 2, and what meets is verified on all bits.  Finding a pair is a
     matter of chance that falls with the distance: see the README's figures.
+    Sections go through a few at a time, so that disk holds few variants at once.
     """
     found = materialise(fingerprints(docs, words, lanes, id_col, text_col), "sketch")
-    nodes = found.groupBy("fp").agg(F.min("id").alias("node"))
-    nodes = materialise(nodes, "nodes")
+    nodes = materialise(found.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fp")), "nodes")
     width = section_bits // 8
-    sections = F.array(
-        *(F.struct(F.lit(i).alias("section"), as_long(F.col("fp"), i * width, width).alias("key")) for i in range(8 * lanes // width))
-    )
-    keys = nodes.select("node", F.explode(sections).alias("s")).select("node", "s.section", "s.key")
-    met = ball_edges(keys, section_bits)
     left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    differ = sum(
-        F.bit_count(as_long(F.col("fa"), 8 * i).bitwiseXOR(as_long(F.col("fb"), 8 * i))) for i in range(lanes)
-    )
-    links = met.join(left, "a").join(right, "b").where(differ <= bit_limit(similarity, 64 * lanes)).select("a", "b")
-    linked = components(links)
-    rooted = nodes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return found.join(rooted, "fp").select("id", "fp", "root")
+    differ = sum(F.bit_count(as_long(F.col("fa"), 8 * i).bitwiseXOR(as_long(F.col("fb"), 8 * i))) for i in range(lanes))
+    total, rounds = 8 * lanes // width, []
+    for start in range(0, total, SECTIONS_AT_A_TIME):
+        sections = F.array(
+            *(as_long(F.col("fp"), i * width, width) + F.lit(i << section_bits) for i in range(start, min(total, start + SECTIONS_AT_A_TIME)))
+        )
+        met = ball_edges(nodes.select("node", F.explode(sections).alias("key")), section_bits)
+        rounds.append(materialise(met.join(left, "a").join(right, "b").where(differ <= bit_limit(similarity, 64 * lanes)).select("a", "b"), "links"))
+        del met
+        release_shuffles(docs.sparkSession)
+    linked = components(reduce(DataFrame.unionByName, rounds))
+    rooted = nodes.join(linked, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    classes = rooted.join(named, "root").select("fp", F.col("first").alias("root"))
+    return found.join(classes, "fp").select("id", "fp", "root")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
