@@ -20,6 +20,9 @@ from gleaner.session import ship_package
 # repeats documents and drops none.
 MIX_WEIGHTS, MIX_GROWTH, MIX_LEAST = [0.90, 0.01, 0.09], 1.25, 1.0
 
+# Smaller than the codec's own: here executors have served other stages, and their heaps have grown.
+TOKEN_CACHES = (15_000, 60_000, 120_000)
+
 # SQL can state neither a trained model nor a tokenizer; tests hold the stages
 # against brute force.
 ORACLE_SQL = None
@@ -55,7 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's tokens: ``doc_id, n_tokens, ids, ids_sha256, decoded_sha256``."""
     ship_package(spark)
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, caches=TOKEN_CACHES)
 
 
 STAGES = [

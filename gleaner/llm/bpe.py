@@ -28,13 +28,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import small_batches, text_of
+from gleaner.llm.common import small_batches, text_of, worker_cache
 
-MAX_STATES = 20_000
-MAX_SIMULATED = 80_000
-MAX_PAIRS = 150_000
+MAX_STATES, MAX_SIMULATED, MAX_PAIRS = 30_000, 300_000, 400_000  # of a worker's caches: memory against time
 LOCKSTEP_BYTES = 96
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 20
 DECODE_CHUNK = 65_536
 
 # Latin text can be cut by the standard library's faster engine: over these
@@ -64,9 +62,9 @@ class Transducer:
     END = 256
     DEAD = 1  # the state, and the transition to it, of pieces that left the frozen table
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES, max_simulated: int = MAX_SIMULATED, max_pairs: int = MAX_PAIRS):
         self.ranks = ranks
-        self.max_states = max_states
+        self.max_states, self.max_simulated, self.max_pairs = max_states, max_simulated, max_pairs
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.proper_prefixes = {token[:k] for token in ranks for k in range(1, len(token))}
         self.never = max(ranks.values(), default=0) + 1
@@ -130,7 +128,7 @@ class Transducer:
         pair = (before, token)
         known = self.stable.get(pair)
         if known is None:
-            if len(self.stable) >= MAX_PAIRS:
+            if len(self.stable) >= self.max_pairs:
                 self.stable.clear()
             known = self.stable[pair] = self._border_holds(before, token)
         return known
@@ -271,7 +269,7 @@ class Transducer:
             i = begin[i]
         ids.reverse()
         if len(piece) <= LOCKSTEP_BYTES:
-            if len(self.simulated) >= MAX_SIMULATED:
+            if len(self.simulated) >= self.max_simulated:
                 self.simulated.clear()
             self.simulated[piece] = ids
         return ids
@@ -280,8 +278,8 @@ class Transducer:
 class Codec:
     """Cuts texts by the pattern, runs the transducer over all pieces at once, and decodes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, caches: tuple[int, int, int] = (MAX_STATES, MAX_SIMULATED, MAX_PAIRS)):
+        self.transducer = Transducer(ranks, *caches)
         self.cut_any = regex.compile(pattern).findall
         plain = pattern.replace(r"\p{L}", _LATIN).replace(r"\p{N}", "0-9")
         # outside a character class the letters need brackets of their own
@@ -331,15 +329,13 @@ class Codec:
         yield machine.decode(b"", final=True)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def codec_for(raw: bytes, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    key = hashlib.sha256(raw + pattern.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(parse_ranks(raw), pattern)
-    return _CODECS[key]
+def codec_for(raw: bytes, pattern: str, caches: tuple[int, int, int] = (MAX_STATES, MAX_SIMULATED, MAX_PAIRS)) -> Codec:
+    """One codec for each worker process, vocabulary and size of caches."""
+    held = worker_cache("bpe")
+    key = (hashlib.sha256(raw + pattern.encode()).hexdigest(), caches)
+    if key not in held:
+        held[key] = Codec(parse_ranks(raw), pattern, caches)
+    return held[key]
 
 
 def slices(texts: list[str]) -> Iterator[list[str]]:
@@ -356,7 +352,8 @@ def slices(texts: list[str]) -> Iterator[list[str]]:
 
 
 def encode_documents(
-    docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True
+    docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True,
+    caches: tuple[int, int, int] = (MAX_STATES, MAX_SIMULATED, MAX_PAIRS),
 ) -> DataFrame:
     """Encode every whole text, decode the ids again, and report both.
 
@@ -365,7 +362,8 @@ def encode_documents(
     tokens and the digests of nothing.  Repeated rows give repeated results; a
     null id stays null; other columns are not read, whatever their names.  The
     vocabulary is read on the driver and broadcast: a file of fixed size that
-    does not grow with the data.
+    does not grow with the data.  ``caches`` bounds a worker's states, simulated
+    pieces and known pairs; smaller ones take less memory and more time.
     """
     small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
@@ -375,7 +373,7 @@ def encode_documents(
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_for(shared.value, pattern)
+        codec = codec_for(shared.value, pattern, caches)
         for batch in batches:
             counts, all_ids, ids_sha, text_sha = [], [], [], []
             for texts in slices(batch.column(1).to_pylist()):
@@ -395,7 +393,6 @@ def encode_documents(
             columns += [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["id", "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        codec.transducer.simulated.clear()  # the worker lives on, and may serve other stages
 
     schema = f"id {kind}, n_tokens bigint, {'ids array<bigint>, ' if keep_ids else ''}ids_sha256 string, decoded_sha256 string"
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

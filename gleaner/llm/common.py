@@ -55,6 +55,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(setting, str(rows))
 
 
+_HELD: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What this Python worker process holds for one operator; what it held for others goes.
+
+    Workers outlive stages, so a cache left behind would count against the next stage's memory.
+    """
+    for other in [name for name in _HELD if name != operator]:
+        del _HELD[other]
+    return _HELD.setdefault(operator, {})
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referred to; it does so as the driver collects garbage."""
     gc.collect()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches, text_of
+from gleaner.llm.common import small_batches, text_of, worker_cache
 
 BLOCK_BYTES = 576
 RATE = 8000
@@ -99,6 +99,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair = pa.struct([("frame", pa.int32()), ("hash", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("media")
         names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise, small_batches, text_of
+from gleaner.llm.common import materialise, small_batches, text_of, worker_cache
 from gleaner.llm.quality import FEATURES, text_features
 
 MAX_TRAINING_ROWS = 8_000
@@ -130,6 +130,7 @@ def fit_domains(
     picked = model.keywords
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("mixing")
         for batch in batches:
             _, x = domain_features(batch.column(0).to_pylist(), picked)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
@@ -148,6 +149,7 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
     source = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("mixing")
         for batch in batches:
             tokens, p = model.posterior(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -251,6 +253,7 @@ def apply_mix(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str =
     marked = docs.withColumn("__draw", F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("mixing")
         for batch in batches:
             texts = [t or "" for t in batch.column(body).to_pylist()]
             _, p = mix.model.posterior(texts)

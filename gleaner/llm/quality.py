@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches, text_of
+from gleaner.llm.common import small_batches, text_of, worker_cache
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "longest_word", "upper", "lower", "digit", "space", "newline",
@@ -232,6 +232,7 @@ def fit_quality(
     sample = docs.select(docs[id_col].alias(id_col), text_of(docs[text_col]).alias("__text")).join(chosen, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         for batch in batches:
             x = feature_matrix(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("__y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
@@ -251,6 +252,7 @@ def score_documents(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id
     source = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         for batch in batches:
             scores = model.score(feature_matrix(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
@@ -264,6 +266,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text", lea
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         for batch in batches:
             yield batch.filter(pa.array(model.score(feature_matrix(batch.column(at).to_pylist())) >= least))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise, release_shuffles, small_batches, text_of
+from gleaner.llm.common import materialise, release_shuffles, small_batches, text_of, worker_cache
 
 SEED = 42
 SECTIONS_AT_A_TIME = 3  # whose variants are on disk together
@@ -83,6 +83,7 @@ def fingerprints(docs: DataFrame, width: int, lanes: int, id_col: str, text_col:
     source = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in batches:
             found = [fingerprint(text, width, lanes) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "fp"])
