@@ -12,7 +12,7 @@ smallest) keeps the components without emitting all pairs.
 ``near_duplicate_classes`` (whole documents, small changes) uses one 64-bit
 fingerprint.  ``sketch_classes`` (similarity 0.8 on five-word shingles, whose
 fingerprints differ in more bits) cuts a longer fingerprint into sections, ball
-hashes each section by itself, and verifies meetings on the whole length.
+hashes each section by itself, and compares the shingle sets of what meets.
 """
 
 from __future__ import annotations
@@ -182,14 +182,90 @@ def near_duplicate_classes(
     )
 
 
-def bit_limit(similarity: float, bits: int) -> int:
-    """Most differing bits expected of two shingle sets of equal size with this Jaccard similarity.
+def bit_limit(similarity: float, bits: int, deviations: float = 0.0) -> int:
+    """Differing bits up to which two shingle sets may have this Jaccard similarity.
 
-    Shared shingles are 2J/(1+J) of either set, which is the cosine c of the
-    count vectors; a bit differs with probability arccos(c)/pi.
+    Shared shingles are 2J/(1+J) of either of two equal sets, which is their
+    cosine c (sets of unequal size have a greater one); a bit differs with
+    probability p = arccos(c)/pi.  The limit is the expected number plus so many
+    standard deviations, for it only chooses what is compared by its shingles.
     """
     cosine = 2 * similarity / (1 + similarity)
-    return math.floor(bits * math.acos(cosine) / math.pi)
+    differs = math.acos(cosine) / math.pi
+    return min(bits, math.floor(bits * differs + deviations * math.sqrt(bits * differs * (1 - differs))))
+
+
+def sketch(text: str, width: int, lanes: int) -> tuple[int, bytes, np.ndarray]:
+    """A number for the text's set of shingles, the set's fingerprint, and the set (sorted hashes)."""
+    grams = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(word_list(text), width)]))
+    votes = np.zeros(64 * lanes, np.int64)
+    for start in range(0, len(grams), BLOCK):
+        part = grams[start : start + BLOCK]
+        bits = np.unpackbits(widen(part, lanes).astype(">u8").view(np.uint8).reshape(len(part), 8 * lanes), axis=1)
+        for at in range(0, len(bits), 255):
+            votes += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    node = xxhash.xxh64_intdigest(grams.tobytes(), seed=SEED)
+    return node - (1 << 64 if node >> 63 else 0), np.packbits(2 * votes > len(grams)).tobytes(), grams.view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, node, fp, grams``: one row for each row; equal sets of shingles have equal nodes."""
+    small_batches(docs.sparkSession)
+    source = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
+        for batch in batches:
+            found = [sketch(text, width, lanes) for text in batch.column(1).to_pylist()]
+            node, fp, grams = zip(*found, strict=True) if found else ((), (), ())
+            columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.binary()), pa.array(grams, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "fp", "grams"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node bigint, fp binary, grams array<bigint>")
+
+
+def near_keys(keys: DataFrame, bits: int) -> DataFrame:
+    """``k1 < k2``: all pairs of distinct keys within distance 2; a key has at most ``bits * (bits + 1) / 2`` others."""
+    masks = F.array(F.lit(0).cast("bigint"), *(F.lit(2**i).cast("bigint") for i in range(bits)))
+    return (
+        keys.select("key")
+        .distinct()
+        .select("key", F.explode(masks).alias("mask"))
+        .select(F.col("key").bitwiseXOR(F.col("mask")).alias("value"), "key")
+        .groupBy("value")
+        .agg(F.collect_list("key").alias("met"))  # at most bits + 1
+        .where(F.size("met") > 1)
+        .select("met", F.explode("met").alias("k1"))
+        .select("k1", F.explode("met").alias("k2"))
+        .where("k1 < k2")
+        .distinct()
+    )
+
+
+def star_edges(keys: DataFrame, near: DataFrame) -> DataFrame:
+    """``a, b``: each node to the smallest of its key, and that one to the smallest of the keys near."""
+    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"))
+    same = keys.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    one = leaders.select(F.col("key").alias("k1"), F.col("leader").alias("l1"))
+    two = leaders.select(F.col("key").alias("k2"), F.col("leader").alias("l2"))
+    met = near.join(one, "k1").join(two, "k2").select(F.greatest("l1", "l2").alias("a"), F.least("l1", "l2").alias("b"))
+    return same.unionByName(met.where("a <> b").groupBy("a").agg(F.min("b").alias("b")))
+
+
+def apart(keys: DataFrame, near: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of nodes of different ``root`` whose keys are equal or near.
+
+    Keys that hold one root only, alone or with all keys near, are left out
+    before nodes are paired, so a group that is one class already makes no pairs.
+    """
+    held = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    one = held.select(F.col("key").alias("k1"), F.col("low").alias("low1"), F.col("high").alias("high1"))
+    two = held.select(F.col("key").alias("k2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    mixed = near.join(one, "k1").join(two, "k2").where("low1 <> high1 or low2 <> high2 or low1 <> low2").select("k1", "k2")
+    mixed = mixed.unionByName(held.where("low <> high").select(F.col("key").alias("k1"), F.col("key").alias("k2")))
+    left = keys.select(F.col("key").alias("k1"), F.col("node").alias("n1"), F.col("root").alias("r1"), F.col("size").alias("s1"), F.col("fp").alias("f1"))
+    right = keys.select(F.col("key").alias("k2"), F.col("node").alias("n2"), F.col("root").alias("r2"), F.col("size").alias("s2"), F.col("fp").alias("f2"))
+    return mixed.join(left, "k1").join(right, "k2").where("r1 <> r2 and (k1 < k2 or n1 < n2)")
 
 
 def sketch_classes(
@@ -201,33 +277,71 @@ def sketch_classes(
     lanes: int = 9,
     section_bits: int = 32,
 ) -> DataFrame:
-    """``id, fp, root`` (root: smallest id of the class) at an estimated similarity of ``similarity`` or more.
-
-    ``id`` must be distinct.  Rows with equal fingerprints are one node, so a
-    group of copies costs one; each of the ``2 * lanes`` sections is ball hashed
-    at distance 2, and what meets is verified on all bits.  Finding a pair is a
-    matter of chance that falls with the distance: see the README's figures.
-    Sections go through a few at a time, so that disk holds few variants at once.
+    """``id, fp, root`` (root: smallest id of the class); links at an estimated similarity of ``similarity`` or more.
+
+    ``id`` must be distinct.  Rows with equal sets of shingles are one node, so
+    a group of copies costs one.  Each of the ``2 * lanes`` sections is ball
+    hashed at distance 2.  What meets is first put in stars; a pair is compared
+    by its distinct shingles if its bits allow it.  Whatever met and is not in
+    one class after that is compared pair by pair, members of equal sections
+    too.  Meeting is a matter of chance that falls with the distance: see the
+    README's figures.  Sections go through a few at a time, so that disk holds
+    few variants at once.
     """
-    found = materialise(fingerprints(docs, words, lanes, id_col, text_col), "sketch")
-    nodes = materialise(found.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fp")), "nodes")
-    width = section_bits // 8
-    left, right = nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    differ = sum(F.bit_count(as_long(F.col("fa"), 8 * i).bitwiseXOR(as_long(F.col("fb"), 8 * i))) for i in range(lanes))
-    total, rounds = 8 * lanes // width, []
-    for start in range(0, total, SECTIONS_AT_A_TIME):
-        sections = F.array(
-            *(as_long(F.col("fp"), i * width, width) + F.lit(i << section_bits) for i in range(start, min(total, start + SECTIONS_AT_A_TIME)))
-        )
-        met = ball_edges(nodes.select("node", F.explode(sections).alias("key")), section_bits)
-        rounds.append(materialise(met.join(left, "a").join(right, "b").where(differ <= bit_limit(similarity, 64 * lanes)).select("a", "b"), "links"))
-        del met
-        release_shuffles(docs.sparkSession)
-    linked = components(reduce(DataFrame.unionByName, rounds))
-    rooted = nodes.join(linked, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    spark = docs.sparkSession
+    found = materialise(sketches(docs, words, lanes, id_col, text_col), "sketch")
+    nodes = found.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first(F.size("grams")).alias("size"))
+    nodes = materialise(nodes, "nodes")
+    width, total, limit = section_bits // 8, 8 * lanes // (section_bits // 8), bit_limit(similarity, 64 * lanes)
+    groups = [range(start, min(total, start + SECTIONS_AT_A_TIME)) for start in range(0, total, SECTIONS_AT_A_TIME)]
+
+    def keyed(frame: DataFrame, group: range) -> DataFrame:
+        sections = F.array(*(as_long(F.col("fp"), i * width, width) + F.lit(i << section_bits) for i in group))
+        return frame.select("*", F.explode(sections).alias("key"))
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """Of ``n1, f1, s1, n2, f2, s2`` the pairs that sizes and bits allow: ``a, b, d``."""
+        differ = sum(F.bit_count(as_long(F.col("f1"), 8 * i).bitwiseXOR(as_long(F.col("f2"), 8 * i))) for i in range(lanes))
+        sized = F.least("s1", "s2") / F.greatest("s1", "s2") >= similarity
+        return pairs.where(sized).select(F.greatest("n1", "n2").alias("a"), F.least("n1", "n2").alias("b"), differ.alias("d")).where(F.col("d") <= limit)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return materialise(pairs.select("a", "b"), "links")
+
+    def classed(links: DataFrame) -> DataFrame:
+        linked = components(links)
+        return materialise(nodes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
+
+    ends = [nodes.select(F.col("node").alias(f"n{k}"), F.col("fp").alias(f"f{k}"), F.col("size").alias(f"s{k}")) for k in (1, 2)]
+    nears, rounds = [], []
+    for group in groups:
+        keys = keyed(nodes, group).select("node", "key")
+        nears.append(materialise(near_keys(keys, section_bits), "near"))
+        stars = star_edges(keys, nears[-1]).distinct().select(F.col("a").alias("n1"), F.col("b").alias("n2"))
+        rounds.append(materialise(allowed(stars.join(ends[0], "n1").join(ends[1], "n2")), "stars"))
+        del keys, stars
+        release_shuffles(spark)
+    stars = materialise(reduce(DataFrame.unionByName, rounds).distinct(), "stars")
+
+    # The smallest and the nearest star of each node make most classes; the other stars are tried where classes still differ.
+    first = stars.groupBy("a").agg(F.min("b").alias("b"), F.min_by("b", F.struct("d", "b")).alias("c"))
+    links = similar(first.select("a", F.explode(F.array_distinct(F.array("b", "c"))).alias("b")))
+    rooted = classed(links)
+    roots = [rooted.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    links = links.unionByName(similar(stars.join(roots[0], "a").join(roots[1], "b").where("ra <> rb").select("a", "b")))
+    rooted = classed(links)
+
+    rounds = []
+    for group, near in zip(groups, nears, strict=True):
+        keys = keyed(rooted, group).select("node", "root", "size", "fp", "key")
+        rounds.append(materialise(allowed(apart(keys, near)).select("a", "b").distinct(), "apart"))
+        del keys
+        release_shuffles(spark)
+    rest = reduce(DataFrame.unionByName, rounds).distinct().join(stars, ["a", "b"], "left_anti")
+    rooted = classed(links.unionByName(similar(rest)))
     named = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    classes = rooted.join(named, "root").select("fp", F.col("first").alias("root"))
-    return found.join(classes, "fp").select("id", "fp", "root")
+    classes = rooted.join(named, "root").select("node", F.col("first").alias("root"))
+    return found.select("id", "fp", "node").join(classes, "node").select("id", "fp", "root")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,3 +91,12 @@ def test_one_of_each_class_is_kept(spark, copies):
     assert kept.columns == df.columns
     ids = sorted(r.doc_id for r in kept.collect())
     assert ids == [10 * k for k in range(40)] + [1000]
+
+
+def test_all_members_of_an_equal_section_are_paired(spark):
+    # Keys 8 and 11 are within 2; the members 2 and 4 meet though neither is its key's smallest.
+    keys = spark.createDataFrame([(n, k, n, 1, b"") for n, k in ((1, 8), (2, 8), (3, 11), (4, 11), (5, 255))], "node long, key long, root long, size int, fp binary")
+    near = simhash.near_keys(keys, 32)
+    assert [(r.k1, r.k2) for r in near.collect()] == [(8, 11)]
+    met = {(min(r.n1, r.n2), max(r.n1, r.n2)) for r in simhash.apart(keys, near).collect()}
+    assert met == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
