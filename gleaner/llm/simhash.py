@@ -182,7 +182,7 @@ def near_duplicate_classes(
     )
 
 
-def bit_limit(similarity: float, bits: int, deviations: float = 0.0) -> int:
+def bit_limit(similarity: float, bits: int, deviations: float = 5.0) -> int:
     """Differing bits up to which two shingle sets may have this Jaccard similarity.
 
     Shared shingles are 2J/(1+J) of either of two equal sets, which is their
@@ -274,10 +274,10 @@ def sketch_classes(
     text_col: str,
     words: int = 5,
     similarity: float = 0.8,
-    lanes: int = 9,
+    lanes: int = 16,
     section_bits: int = 32,
 ) -> DataFrame:
-    """``id, fp, root`` (root: smallest id of the class); links at an estimated similarity of ``similarity`` or more.
+    """``id, fp, root`` (root: smallest id of the class); links at Jaccard similarity ``similarity`` or more.
 
     ``id`` must be distinct.  Rows with equal sets of shingles are one node, so
     a group of copies costs one.  Each of the ``2 * lanes`` sections is ball
@@ -306,7 +306,15 @@ def sketch_classes(
         return pairs.where(sized).select(F.greatest("n1", "n2").alias("a"), F.least("n1", "n2").alias("b"), differ.alias("d")).where(F.col("d") <= limit)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        return materialise(pairs.select("a", "b"), "links")
+        """Of ``a, b`` those whose sets of shingles have the similarity."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        owners = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("id"))
+        sets = materialise(found.join(owners, "id").select("node", "grams"), "sets")
+        shared = F.size(F.array_intersect("ga", "gb"))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b"
+        )
+        return materialise(both.where(shared / (F.size("ga") + F.size("gb") - shared) >= similarity).select("a", "b"), "links")
 
     def classed(links: DataFrame) -> DataFrame:
         linked = components(links)

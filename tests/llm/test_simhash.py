@@ -93,6 +93,54 @@ def test_one_of_each_class_is_kept(spark, copies):
     assert ids == [10 * k for k in range(40)] + [1000]
 
 
+def slow_similar(texts: dict[int, str], least: float = 0.8) -> dict[int, int]:
+    """The smallest id of each class by Jaccard of five-word sets."""
+    sets = {}
+    for i, text in texts.items():
+        words = text.split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def families(rng: random.Random, count: int, changes: list[int], vocabulary: list[str], length: int = 300) -> list[str]:
+    """Texts of ``count`` families; one member for each of ``changes``, with so many words changed."""
+    texts = []
+    for _ in range(count):
+        words = [rng.choice(vocabulary) for _ in range(length)]
+        for n in changes:
+            member = list(words)
+            for at in rng.sample(range(length), n):
+                member[at] = rng.choice(vocabulary)
+            texts.append(" ".join(member))
+    return texts
+
+
+def test_members_that_fail_against_the_leader_still_meet(spark):
+    # A template family: members are far from the template and near one another only in pairs.
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
+    texts = []
+    for base in families(rng, 8, [14] * 6, vocabulary):
+        words = base.split()
+        words[rng.randrange(300)] = "changed"
+        texts += [base, " ".join(words)]
+    rows = dict(enumerate(texts))
+    got = {r.id: r.root for r in simhash.sketch_classes(spark.createDataFrame(list(rows.items()), "i long, text string"), "i", "text").collect()}
+    assert got == slow_similar(rows)
+
+
 def test_all_members_of_an_equal_section_are_paired(spark):
     # Keys 8 and 11 are within 2; the members 2 and 4 meet though neither is its key's smallest.
     keys = spark.createDataFrame([(n, k, n, 1, b"") for n, k in ((1, 8), (2, 8), (3, 11), (4, 11), (5, 255))], "node long, key long, root long, size int, fp binary")
@@ -100,3 +148,17 @@ def test_all_members_of_an_equal_section_are_paired(spark):
     assert [(r.k1, r.k2) for r in near.collect()] == [(8, 11)]
     met = {(min(r.n1, r.n2), max(r.n1, r.n2)) for r in simhash.apart(keys, near).collect()}
     assert met == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+
+
+def test_similarity_is_that_of_the_shingle_sets(spark):
+    # Either side of 0.8, where bits alone decide about half of the pairs wrongly; and a line repeated in two texts.
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
+    rows = dict(enumerate(families(rng, 40, [0, 5, 8], vocabulary) + families(rng, 40, [0, 9], vocabulary)))
+    line = " ".join(rng.choice(vocabulary) for _ in range(10)) + " "
+    rows |= {1000 + k: line * 50 + text for k, text in enumerate(families(rng, 2, [0], vocabulary, 60))}
+    got = {r.id: r.root for r in simhash.sketch_classes(spark.createDataFrame(list(rows.items()), "i long, text string"), "i", "text").collect()}
+    want = slow_similar(rows)
+    assert all(want[got[i]] == want[i] for i in rows)  # nothing below 0.8 is linked
+    assert sum(got[i] == want[i] for i in rows) >= 0.98 * len(rows)
+    assert got[1000] != got[1001]
