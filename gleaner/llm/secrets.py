@@ -6,8 +6,10 @@ of a character class (hex digits, or the base64 alphabet) that mix letters and
 digits.  Over each candidate a window of ``WINDOW`` characters slides; the
 state holds a count for each character of the class and the sum of c*log2(c),
 and entering and leaving characters change both incrementally.  The windows
-whose Shannon entropy reaches the class's threshold make one span.  Spans that
-an allow-list entry fits, or that touch a known form, are suppressed.
+whose Shannon entropy reaches the class's threshold make one span.  Known forms
+and the delimited parts that hold an allow-listed word are blanked out before,
+so what stands beside them is judged by itself; candidates that an allow-list
+entry fits as a whole are suppressed.
 """
 
 from __future__ import annotations
@@ -36,12 +38,15 @@ CLASSES = (
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=",
         3.6,
     ),
+    ("entlow", r"(?<![A-Za-z0-9+])(?=[a-z]*[0-9])(?=[0-9]*[a-z])(?![0-9a-f]+(?![A-Za-z0-9+]))[a-z0-9]{20,}(?![A-Za-z0-9+])", "abcdefghijklmnopqrstuvwxyz0123456789", 3.6),
+    ("entup", r"(?<![A-Za-z0-9+])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])(?![0-9A-F]+(?![A-Za-z0-9+]))[A-Z0-9]{20,}(?![A-Za-z0-9+])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.6),
 )
 
-# Candidates that only look like secrets (searched in the span's text).
+# Words that only look like secrets: they clear the part (between / _ -) that holds them, with a delimiter on either side.
+ALLOWED_PART = r"[/_-]?(?<![A-Za-z0-9+=])[A-Za-z0-9+=]*?(?i:example|sample|placeholder|changeme|dummy|xxxx|123456789|abcdefgh|qwerty)[A-Za-z0-9+=]*[/_-]?"
+
+# Candidates that only look like secrets as a whole.
 ALLOW = (
-    r"(?i)example|sample|placeholder|changeme|dummy|xxxx",
-    r"(?i)0123456789|123456789|abcdefgh|qwerty",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(?:[A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]*[0-9]{0,4}$",
 )
@@ -139,6 +144,33 @@ def _entropy_spans(text: Column, rank: int, kind: str, pattern: str, alphabet: s
     )
 
 
+def _blanked(text: Column, known: Column) -> Column:
+    """The text with blanks, as many, for ``known`` spans (by start) and allow-listed parts."""
+    kept = F.aggregate(
+        known,
+        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at")),
+        lambda acc, s: F.struct(
+            F.concat(
+                acc["out"],
+                F.array(
+                    F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")),
+                    F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(s["start"], acc["at"]), F.lit(0)).cast("int")),
+                ),
+            ).alias("out"),
+            F.greatest(acc["at"], s["stop"]).alias("at"),
+        ),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
+    )
+    return F.when(F.size(known) > 0, kept).otherwise(text)
+
+
+def _without_allowed(text: Column) -> Column:
+    matches = F.regexp_extract_all(text, F.lit(ALLOWED_PART), F.lit(0))
+    blanks = F.concat(F.transform(matches, lambda m: F.repeat(F.lit(" "), F.length(m))), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(F.split(text, ALLOWED_PART, -1), blanks, lambda p, m: F.concat(p, m)), "")
+    return F.when(text.rlike(ALLOWED_PART), joined).otherwise(text)
+
+
 def _any(value: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -151,7 +183,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans",
 
     ``out_col`` is ``array<struct<start, rank, stop, kind, value>>`` in code
     points, the end exclusive; kinds are assign, access and hex (rank 0 to 2),
-    then enthex and entb64.  A null or empty text has no span; rows repeat as
+    then enthex, entb64, entlow and entup.  A null or empty text has no span; rows repeat as
     they do in the input, and all other columns pass through.  No shuffle.
     """
     text = text_of(F.col(text_col))
@@ -161,11 +193,13 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans",
         lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= ASSIGN_LEAST,
     )
     named = named.withColumn("__secret_base", F.concat(assign, _found(text, ACCESS, 1, "access"), _found(text, HEX, 2, "hex")))
-    added = F.concat(*(_entropy_spans(text, 3 + i, *c, window) for i, c in enumerate(CLASSES)))
+    named = named.withColumn("__secret_rest", _blanked(text, F.array_sort("__secret_base")))
+    named = named.withColumn("__secret_rest", _without_allowed(F.col("__secret_rest")))
+    added = F.concat(*(_entropy_spans(F.col("__secret_rest"), 3 + i, *c, window) for i, c in enumerate(CLASSES)))
     named = named.withColumn("__secret_more", added)
     base, more = F.col("__secret_base"), F.col("__secret_more")
-    fresh = F.filter(more, lambda m: ~F.exists(base, lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return named.withColumn(out_col, F.array_sort(F.concat(base, fresh))).drop("__secret_base", "__secret_more")
+    fresh = F.filter(more, lambda m: ~F.exists(more, lambda b: (b["rank"] < m["rank"]) & (b["start"] <= m["start"]) & (m["stop"] <= b["stop"])))
+    return named.withColumn(out_col, F.array_sort(F.concat(base, fresh))).drop("__secret_base", "__secret_rest", "__secret_more")
 
 
 def listed(spans: Column) -> Column:
