@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gc
+import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.session import shared_dir
 
+SHARES = 1 << 30
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -27,8 +30,8 @@ def ascii_lower(col: Column) -> Column:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    return f"{shared_dir(spark).rstrip('/')}/gleaner-{label}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared checkpoint directory, in this application's own."""
+    return f"{shared_dir(spark).rstrip('/')}/gleaner-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -38,10 +41,38 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    ``discard`` deletes it; what a lazy result still reads stays until ``clear_scratch``.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._gleaner_scratch = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these frames; everything computed from them must be written by now."""
+    for frame in frames:
+        delete_path(frame.sparkSession, frame._gleaner_scratch)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch of this application; call it when the results are written."""
+    delete_path(spark, f"{shared_dir(spark).rstrip('/')}/gleaner-{spark.sparkContext.applicationId}")
+
+
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those of smallest hash of ``key`` (then key), so the choice is repeatable.
+
+    Where there are more, only a share of the hashes that holds some more than
+    ``most`` is sorted, so what each task sends on is its part of them.
+    """
+    count = rows.count()
+    if count > most:
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(SHARES)) < min(SHARES, math.ceil((most + 6 * math.sqrt(most) + 10) / count * SHARES)))
+    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(SHARES)), F.xxhash64(key), key).limit(most)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -74,26 +105,43 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def exclusive_prefix_sums(values: Column, block: int = 256) -> Column:
-    """``[0, v0, v0+v1, ...]`` of an array of numbers, as array<bigint>.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once.
+
+    An expression named inside a lambda is evaluated again at every element; as
+    the variable of an enclosing one-element transform it is a plain reference.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def exclusive_scan(values: Column, start: int, join: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """``[start, join(start, v0), join(.., v1), ...]`` of an array of numbers, as array<bigint>; ``join`` is associative.
 
-    Appending to an array copies it, so sums run inside blocks of ``block``
-    elements whose totals are summed first; work is n*block rather than n*n.
+    Appending to an array copies it, so scans run inside blocks of ``block``
+    elements whose own totals are scanned first; work is n*block rather than n*n.
     """
     empty = F.array().cast("array<bigint>")
 
-    def scan(items: Column, start: Column) -> Column:
+    def scan(items: Column, first: Column) -> Column:
         return F.aggregate(
             items,
-            F.struct(empty.alias("out"), start.cast("bigint").alias("at")),
-            lambda acc, x: F.struct(
-                F.concat(acc["out"], F.array(acc["at"])).alias("out"),
-                (acc["at"] + x.cast("bigint")).alias("at"),
-            ),
+            F.struct(empty.alias("out"), first.cast("bigint").alias("at")),
+            lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), join(acc["at"], x).cast("bigint").alias("at")),
             lambda acc: acc["out"],
         )
 
-    last = F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * block + 1, block))
-    totals = F.transform(blocks, lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")))
-    return F.flatten(F.zip_with(blocks, scan(totals, F.lit(0)), scan))
+    def cut(items: Column) -> Column:
+        last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * block + 1, block))
+
+    zero = F.lit(start).cast("bigint")
+    totals = lambda blocks: F.transform(blocks, lambda part: F.aggregate(part, zero, lambda a, x: join(a, x)))
+    return bound(
+        F.transform(values, lambda x: x.cast("bigint")),
+        lambda items: bound(cut(items), lambda blocks: F.flatten(F.zip_with(blocks, scan(totals(blocks), zero), scan))),
+    )
+
+
+def exclusive_prefix_sums(values: Column, block: int = 256) -> Column:
+    """``[0, v0, v0+v1, ...]`` of an array of numbers, as array<bigint>."""
+    return exclusive_scan(values, 0, lambda a, x: a + x, block)

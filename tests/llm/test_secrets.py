@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -49,9 +50,9 @@ def test_entropy_windows_against_direct_entropy(spark):
     for _ in range(60):
         pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"[: rng.choice([8, 20, 62])]
         values.append("aA1" + "".join(rng.choice(pool) for _ in range(rng.randrange(20, 60))) + rng.choice(["", "a" * 30]))
-    name, pattern, alphabet, threshold = secrets.CLASSES[1]
+    threshold = secrets.CLASSES[1][2]
     df = spark.createDataFrame([(v,) for v in values], "v string")
-    got = df.select("v", secrets._hot_windows(F.col("v"), alphabet, threshold, 20).alias("h")).collect()
+    got = df.select("v", secrets._hot_windows(F.col("v"), F.lit(threshold), 20).alias("h")).collect()
     for r in got:
         want = slow_windows(r.v, threshold)
         assert (None if r.h.first < 0 else (r.h.first, r.h.last + 20)) == want
@@ -94,3 +95,24 @@ def test_only_the_allowed_or_known_part_is_left_out(spark):
     got = {r.doc_id: r.spans for r in secrets.digest(df).collect()}
     assert got == {1: "entb64:9:33", 2: "entb64:8:32", 3: "access:0:20,entb64:20:45", 4: "entlow:2:26", 5: "entup:2:26", 6: "", 7: "entb64:2:26"}
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()}[3] == "[REDACTED:access][REDACTED:entb64]"
+
+
+def test_long_candidates_take_linear_time(spark):
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = {n: "data:" + "".join(rng.choice(alphabet) for _ in range(n)) + " end" for n in (400, 50_000, 100_000)}
+    texts[1] = "ab/" * 100_000 + " " + "x1/" * 50_000  # as long, and suppressed as a whole
+    texts[2] = " ".join("Zk3Pq9LmT7vXc2RwB8nYh5Jd" for _ in range(4000)) + " token=hunter22" * 4000
+    took = {}
+    for n, text in texts.items():
+        began = time.monotonic()
+        df = spark.createDataFrame([(n, text)], "doc_id long, text string")
+        row = secrets.digest(df).first()
+        clean = secrets.redact(df).first().text
+        took[n] = time.monotonic() - began
+        if n >= 400:
+            first, last = slow_windows(text[5:-4], secrets.CLASSES[1][2])
+            assert row.spans == f"entb64:{5 + first}:{5 + last}" and clean == text[: 5 + first] + "[REDACTED:entb64]" + text[5 + last :]
+    assert row.spans.count("entb64") == 4000 and row.n_assign == 4000
+    assert clean == " ".join(["[REDACTED:entb64]"] * 4000) + " [REDACTED:assign]" * 4000
+    assert max(took.values()) < 40 and took[100_000] - took[400] < 3 * max(1.0, took[50_000] - took[400])
