@@ -6,8 +6,8 @@ middle value, so each distinct fingerprint emits every value within r of
 itself; a shuffle brings together those that share a value.  By the triangle
 inequality whatever meets is within 2r, which is verified all the same.  With
 distinct fingerprints and r = 1 a value has at most ``bits + 1`` fingerprints,
-so no bucket grows with a group of copies, and a star (every member to the
-smallest) keeps the components without emitting all pairs.
+and a fingerprint meets at most ``bits * (bits + 1) / 2`` others, so neither
+grows with a group of copies.
 
 ``near_duplicate_classes`` (whole documents, small changes) uses one 64-bit
 fingerprint.  ``sketch_classes`` (similarity 0.8 on five-word shingles, whose
@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise, release_shuffles, small_batches, text_of, worker_cache
+from gleaner.llm.common import discard, materialise, release_shuffles, small_batches, text_of, worker_cache
 
 SEED = 42
 SECTIONS_AT_A_TIME = 3  # whose variants are on disk together
-BLOCK = 8_192  # shingles hashed and counted at a time, so memory does not follow the text
+BLOCK = 2_040  # shingles hashed and counted at a time (eight times 255), so memory does not follow the text
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -56,25 +56,38 @@ def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
 
 def widen(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """``lanes`` well mixed 64-bit values of each hash; the first is the hash itself."""
-    out = np.empty((len(hashes), lanes), np.uint64)
-    out[:, 0] = hashes
-    for lane in range(1, lanes):
-        x = hashes + np.uint64(_MIX * lane & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, lane] = x ^ (x >> np.uint64(31))
-    return out
+    x = hashes[:, None] + np.uint64(_MIX) * np.arange(lanes, dtype=np.uint64)
+    if lanes > 1:
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        x[:, 0] = hashes
+    return x
+
+
+def votes_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """How many of the hashes set each bit, in the order of the bytes in memory (the least significant byte of a lane first)."""
+    bits = np.unpackbits(widen(hashes, lanes).astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), 8 * lanes), axis=1)
+    votes = np.zeros(64 * lanes, np.int64)
+    for part in range(0, len(bits), 255):  # sums of 255 bits fit the narrow type, which is much faster
+        votes += np.add.reduce(bits[part : part + 255], axis=0, dtype=np.uint8)
+    return votes
+
+
+def majority(votes: np.ndarray, total: int) -> bytes:
+    """The bits set in more than half, the most significant byte of each lane first."""
+    return np.packbits(2 * votes > total).view("<u8").astype(">u8").tobytes()
 
 
 def fingerprint(text: str, width: int, lanes: int = 1) -> bytes:
     """``8 * lanes`` bytes, the most significant first; zeros for a text without words."""
     votes, total = np.zeros(64 * lanes, np.int64), 0
     for hashes in shingle_hashes(word_list(text), width):
-        bits = np.unpackbits(widen(hashes, lanes).astype(">u8").view(np.uint8).reshape(len(hashes), 8 * lanes), axis=1)
-        for part in range(0, len(bits), 255):  # sums of 255 bits fit the narrow type, which is much faster
-            votes += bits[part : part + 255].sum(axis=0, dtype=np.uint8)
+        votes += votes_of(hashes, lanes)
         total += len(hashes)
-    return np.packbits(2 * votes > total).tobytes()
+    return majority(votes, total)
 
 
 def fingerprints(docs: DataFrame, width: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
@@ -97,27 +110,31 @@ def as_long(fp: Column, first_byte: int = 0, size: int = 8) -> Column:
     return F.conv(digits, 16, -10).cast("bigint")
 
 
-def ball_edges(keys: DataFrame, bits: int) -> DataFrame:
-    """``a, b``: stars over nodes whose keys are within distance 2.
-
-    ``keys`` has ``node, key`` (numbers), where the key's low ``bits`` bits count
-    and what stands above them must be equal.  Nodes of one key meet directly,
-    and different keys through the values within distance 1 of them.
+def near_keys(keys: DataFrame, bits: int) -> DataFrame:
+    """``k1 < k2``: all pairs of distinct keys within distance 2.
+
+    ``keys`` has ``key`` (a number), whose low ``bits`` bits count; what stands
+    above them must be equal.  Each key emits the values within distance 1 of
+    itself, and two keys meet at a value.  A value where just two meet, as nearly
+    all do, gives them by its least and greatest key; the members of others are
+    looked up from the value.  The partitions are set beforehand, for what is
+    read grows by the number of variants.
     """
-    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"))
-    same = keys.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    masks = F.array(F.lit(0).cast("bigint"), *(F.lit(-(2**63) if i == 63 else 2**i).cast("bigint") for i in range(bits)))
-    across = (
-        leaders.select("leader", "key", F.explode(masks).alias("mask"))
-        .select(F.col("key").bitwiseXOR(F.col("mask")).alias("value"), "leader")
-        .groupBy("value")
-        .agg(F.collect_list("leader").alias("members"))  # at most bits + 1
-        .where(F.size("members") > 1)
-        .select(F.array_min("members").alias("b"), F.explode("members").alias("a"))
-        .where("a <> b")
-        .select("a", "b")
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flips = [0, *(-(2**63) if i == 63 else 2**i for i in range(bits))]
+    masks = F.array(*(F.lit(m).cast("bigint") for m in flips))
+    each = keys.select("key").repartition(parts, "key").distinct()
+    variants = each.select("key", F.explode(masks).alias("mask")).select(F.col("key").bitwiseXOR(F.col("mask")).alias("value"), "key")
+    met = materialise(
+        variants.repartition(parts, "value").groupBy("value").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.count("*").alias("n")).where("n > 1"), "met"
     )
-    return same.unionByName(across).distinct()
+    members = (
+        met.where("n > 2").select("value", F.explode(masks).alias("mask"))
+        .select("value", F.col("value").bitwiseXOR(F.col("mask")).alias("key"))
+        .join(each, "key").groupBy("value").agg(F.collect_list("key").alias("met"))  # at most bits + 1
+    )
+    rest = members.select("met", F.explode("met").alias("k1")).select("k1", F.explode("met").alias("k2")).where("k1 < k2")
+    return met.where("n = 2").select("k1", "k2").unionByName(rest).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -143,7 +160,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        pairs = materialise(small, "cc")
+        settled = materialise(small, "cc")
+        discard(pairs)
+        pairs = settled
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break
@@ -170,8 +189,8 @@ def near_duplicate_classes(
         fingerprints(docs, words, 1, id_col, text_col).select("id", as_long(F.col("fp")).alias("key")), "simhash"
     )
     nodes = found.groupBy("key").agg(F.min("id").alias("least"))
-    edges = ball_edges(nodes.select(F.col("key").alias("node"), "key"), 64)
-    linked = components(edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+    edges = near_keys(nodes, 64).where(F.bit_count(F.col("k1").bitwiseXOR(F.col("k2"))) <= 2)
+    linked = components(edges.select(F.col("k1").alias("a"), F.col("k2").alias("b")))
     rooted = nodes.join(linked, nodes["key"] == linked["node"], "left").select(
         "key", "least", F.coalesce("root", "key").alias("root")
     )
@@ -200,12 +219,9 @@ def sketch(text: str, width: int, lanes: int) -> tuple[int, bytes, np.ndarray]:
     grams = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(word_list(text), width)]))
     votes = np.zeros(64 * lanes, np.int64)
     for start in range(0, len(grams), BLOCK):
-        part = grams[start : start + BLOCK]
-        bits = np.unpackbits(widen(part, lanes).astype(">u8").view(np.uint8).reshape(len(part), 8 * lanes), axis=1)
-        for at in range(0, len(bits), 255):
-            votes += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+        votes += votes_of(grams[start : start + BLOCK], lanes)
     node = xxhash.xxh64_intdigest(grams.tobytes(), seed=SEED)
-    return node - (1 << 64 if node >> 63 else 0), np.packbits(2 * votes > len(grams)).tobytes(), grams.view(np.int64)
+    return node - (1 << 64 if node >> 63 else 0), majority(votes, len(grams)), grams.view(np.int64)
 
 
 def sketches(docs: DataFrame, width: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
@@ -224,24 +240,6 @@ def sketches(docs: DataFrame, width: int, lanes: int, id_col: str, text_col: str
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node bigint, fp binary, grams array<bigint>")
 
 
-def near_keys(keys: DataFrame, bits: int) -> DataFrame:
-    """``k1 < k2``: all pairs of distinct keys within distance 2; a key has at most ``bits * (bits + 1) / 2`` others."""
-    masks = F.array(F.lit(0).cast("bigint"), *(F.lit(2**i).cast("bigint") for i in range(bits)))
-    return (
-        keys.select("key")
-        .distinct()
-        .select("key", F.explode(masks).alias("mask"))
-        .select(F.col("key").bitwiseXOR(F.col("mask")).alias("value"), "key")
-        .groupBy("value")
-        .agg(F.collect_list("key").alias("met"))  # at most bits + 1
-        .where(F.size("met") > 1)
-        .select("met", F.explode("met").alias("k1"))
-        .select("k1", F.explode("met").alias("k2"))
-        .where("k1 < k2")
-        .distinct()
-    )
-
-
 def star_edges(keys: DataFrame, near: DataFrame) -> DataFrame:
     """``a, b``: each node to the smallest of its key, and that one to the smallest of the keys near."""
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"))
@@ -314,7 +312,9 @@ def sketch_classes(
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b"
         )
-        return materialise(both.where(shared / (F.size("ga") + F.size("gb") - shared) >= similarity).select("a", "b"), "links")
+        linked = materialise(both.where(shared / (F.size("ga") + F.size("gb") - shared) >= similarity).select("a", "b"), "links")
+        discard(sets)
+        return linked
 
     def classed(links: DataFrame) -> DataFrame:
         linked = components(links)
@@ -330,6 +330,7 @@ def sketch_classes(
         del keys, stars
         release_shuffles(spark)
     stars = materialise(reduce(DataFrame.unionByName, rounds).distinct(), "stars")
+    discard(*rounds)
 
     # The smallest and the nearest star of each node make most classes; the other stars are tried where classes still differ.
     first = stars.groupBy("a").agg(F.min("b").alias("b"), F.min_by("b", F.struct("d", "b")).alias("c"))
@@ -343,6 +344,7 @@ def sketch_classes(
     for group, near in zip(groups, nears, strict=True):
         keys = keyed(rooted, group).select("node", "root", "size", "fp", "key")
         rounds.append(materialise(allowed(apart(keys, near)).select("a", "b").distinct(), "apart"))
+        discard(near)
         del keys
         release_shuffles(spark)
     rest = reduce(DataFrame.unionByName, rounds).distinct().join(stars, ["a", "b"], "left_anti")

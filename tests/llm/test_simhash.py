@@ -54,8 +54,11 @@ def test_chains_of_close_fingerprints(spark):
         keys.add(max(keys, key=lambda k: xxhash.xxh64_intdigest(str(k))) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
     keys |= {rng.getrandbits(64) for _ in range(30)}
     signed = [k - (1 << 64) if k >> 63 else k for k in keys]
-    df = spark.createDataFrame([(k, 0, k) for k in signed], "node long, section int, key long")
-    linked = {r.node: r.root for r in simhash.components(simhash.ball_edges(df, 64)).collect()}
+    df = spark.createDataFrame([(k,) for k in signed] * 2, "key long")
+    near = simhash.near_keys(df, 64)
+    met = {(r.k1, r.k2) for r in near.collect()}
+    assert met == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
+    linked = {r.node: r.root for r in simhash.components(near.toDF("a", "b")).collect()}
     groups = defaultdict(set)
     for k in signed:
         groups[linked.get(k, k)].add(k)
