@@ -55,7 +55,12 @@ def from_wav(media: bytes) -> bytes:
 
 
 def spectral_peaks(samples: np.ndarray) -> np.ndarray:
-    """For each frame and band the bin of its peak, or -1; in blocks, so memory does not follow the length."""
+    """For each frame and band the bin of its peak, or -1; in blocks, so memory does not follow the length.
+
+    Silence is added up to a whole number of hops, so that frames cover the end.
+    """
+    short = max(0, FRAME - len(samples)) or -(len(samples) - FRAME) % HOP
+    samples = np.concatenate([samples, np.full(short, 128, samples.dtype)])
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     out = np.empty((len(frames), len(BANDS)), np.int16)
     for start in range(0, len(frames), FRAMES_AT_A_TIME):

@@ -3,6 +3,7 @@
 URLs that a rule decides are the labelled ones.  The trees learn from lexical
 features (length, depth, digit ratio, entropy, parameter counts, statistics of
 the host's suffixes) of a bounded sample of them and judge what no rule fits.
+How many URLs were blocked below each suffix is counted over all of them.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import ascii_lower
+from gleaner.llm.common import ascii_lower, discard, hashed_sample, materialise
 
 MAX_TRAINING_ROWS = 20_000
-MAX_SUFFIXES = 10_000
+SUFFIXES = 3  # the last one, two and three labels of a host
 
 # Rules of the query (fixed values): verdict and rule, a host and the start of a path.
 RULES = (
@@ -53,21 +54,37 @@ def with_rules(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame
     return out.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def _suffixes(host: str) -> list[str]:
-    labels = host.split(".")
-    return [".".join(labels[-k:]) for k in (1, 2, 3) if k <= len(labels)]
+def suffixes(host: Column) -> Column:
+    """``array<string>``: the host's last labels, one up to ``SUFFIXES`` of them."""
+    labels = F.split(host, r"\.")
+    count = F.least(F.size(labels), F.lit(SUFFIXES))
+    return F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
 
 
-def lexical_features(url: str, host: str, path: str, blocked: dict[str, tuple[int, int]], prior: float, own: int | None = None) -> list[float]:
-    """``own``: the row's own label (1 block), taken out of the suffix statistics while training."""
+def suffix_statistics(ruled: DataFrame) -> DataFrame:
+    """``suffix, bad, seen``: blocked and all distinct URLs that a rule decided, over every host that ends so."""
+    decided = ruled.where("rule_verdict is not null").select("url", "host", (F.col("rule_verdict") == "block").cast("long").alias("y")).distinct()
+    return decided.select(F.explode(suffixes(F.col("host"))).alias("suffix"), "y").groupBy("suffix").agg(F.sum("y").alias("bad"), F.count("*").alias("seen"))
+
+
+def host_statistics(hosts: DataFrame, statistics: DataFrame) -> DataFrame:
+    """``host, stats array<bigint>``: for each distinct host the bad and seen of its suffixes in turn, 0 where unknown."""
+    parts = hosts.select("host").distinct().select("host", F.posexplode(suffixes(F.col("host"))).alias("at", "suffix"))
+    known = parts.join(statistics, "suffix", "left")
+    value = lambda k, name: F.coalesce(F.max(F.when(F.col("at") == k, F.col(name))), F.lit(0).cast("bigint"))
+    pairs = known.groupBy("host").agg(*(value(k, name).alias(f"{name}{k}") for k in range(SUFFIXES) for name in ("bad", "seen")))
+    return pairs.select("host", F.array(*(f"{name}{k}" for k in range(SUFFIXES) for name in ("bad", "seen"))).alias("stats"))
+
+
+def lexical_features(url: str, host: str, path: str, stats: list[int], prior: float, own: int | None = None) -> list[float]:
+    """``stats``: blocked and seen URLs of the host's suffixes.  ``own``: the row's own label (1 block), taken out of them while training."""
     n = max(1, len(url))
     counts = Counter(url)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     query = url.partition("?")[2].partition("#")[0]
     parameters = [p for p in query.split("&") if p]
     rates = []
-    for suffix in (*_suffixes(host), *("",) * 3)[:3]:
-        bad, seen = blocked.get(suffix, (0, 0))
+    for bad, seen in zip(stats[::2], stats[1::2], strict=True):
         if own is not None and seen:
             bad, seen = bad - own, seen - 1
         rates += [(bad + 4 * prior) / (seen + 4), math.log1p(seen)]
@@ -139,34 +156,32 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2,
 @dataclass
 class UrlModel:
     trees: Trees
-    blocked: dict[str, tuple[int, int]]
+    statistics: DataFrame  # suffix, bad, seen
     prior: float
 
-    def block(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
-        if not rows:
-            return np.zeros(0, bool)
-        x = np.array([lexical_features(u, h, p, self.blocked, self.prior) for u, h, p in rows])
-        return self.trees.margin(x) > 0
+    def block(self, rows: list[tuple[str, str, str, list[int]]]) -> np.ndarray:
+        return blocks(self.trees, self.prior, rows)
+
+
+def blocks(trees: Trees, prior: float, rows: list[tuple[str, str, str, list[int]]]) -> np.ndarray:
+    """Whether to block each ``url, host, path, stats``."""
+    if not rows:
+        return np.zeros(0, bool)
+    return trees.margin(np.array([lexical_features(*row, prior) for row in rows])) > 0
 
 
 def fit_urls(ruled: DataFrame, url_col: str = "url", max_rows: int = MAX_TRAINING_ROWS) -> UrlModel:
-    """Learns from at most ``max_rows`` distinct URLs that a rule decided, those of smallest hash."""
-    sample = (
-        ruled.where("rule_verdict is not null").select(F.col(url_col).alias("url"), "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("y"))
-        .distinct().orderBy(F.xxhash64("url"), "url").limit(max_rows).toPandas()
-    )
-    blocked: dict[str, list[int]] = {}
-    for host, y in zip(sample["host"], sample["y"], strict=True):
-        for suffix in _suffixes(host):
-            entry = blocked.setdefault(suffix, [0, 0])
-            entry[0] += y
-            entry[1] += 1
-    common = sorted(blocked.items(), key=lambda kv: (-kv[1][1], kv[0]))[:MAX_SUFFIXES]
-    table = {k: (int(v[0]), int(v[1])) for k, v in common}
+    """Trees from at most ``max_rows`` distinct URLs that a rule decided, those of smallest hash; suffixes are counted over all."""
+    ruled = ruled.withColumn("url", F.col(url_col))
+    statistics = materialise(suffix_statistics(ruled), "url-suffixes")
+    decided = ruled.where("rule_verdict is not null").select("url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("y")).distinct()
+    chosen = materialise(hashed_sample(decided, "url", max_rows), "url-sample")
+    sample = chosen.join(host_statistics(chosen, statistics), "host").toPandas().sort_values("url")
+    discard(chosen)
     y = sample["y"].to_numpy(np.float64)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
-    x = [lexical_features(u, h, p, table, prior, int(t)) for u, h, p, t in zip(sample["url"], sample["host"], sample["path"], sample["y"], strict=True)]
-    return UrlModel(fit_trees(np.array(x).reshape(len(y), -1 if len(y) else 1), y), table, prior)
+    x = [lexical_features(r.url, r.host, r.path, list(r.stats), prior, int(r.y)) for r in sample.itertuples()]
+    return UrlModel(fit_trees(np.array(x).reshape(len(y), -1 if len(y) else 1), y), statistics, prior)
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
@@ -178,19 +193,19 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     """
     ruled = with_rules(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), rules)
     model = fit_urls(ruled, "url", max_rows)
+    trees, prior = model.trees, model.prior
+    left = ruled.where("rule_verdict is null").select("id", "url", "host", "path")
+    # a host of many pages makes one side uneven only, which adaptive execution splits
+    left = left.join(host_statistics(left, model.statistics), "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            url, host, path, decided = (batch.column(i).to_pylist() for i in (1, 2, 3, 5))
-            verdict = list(decided)
-            open_ = [i for i, v in enumerate(decided) if v is None]
-            for i, bad in zip(open_, model.block([(url[i] or "", host[i], path[i]) for i in open_]).tolist(), strict=True):
-                verdict[i] = "block" if bad else "allow"
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(verdict, pa.string())],
-                names=["id", "host", "path", "rule", "verdict"],
-            )
+            url, host, path, stats = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
+            bad = blocks(trees, prior, [(u or "", h, p, s) for u, h, p, s in zip(url, host, path, stats, strict=True)])
+            verdict = pa.array(np.where(bad, "block", "allow").tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.nulls(batch.num_rows, pa.string()), verdict], names=["id", "host", "path", "rule", "verdict"])
 
     kind = ruled.schema["id"].dataType.simpleString()
-    out = ruled.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
-    return out.withColumnRenamed("id", id_col)
+    judged = left.select("id", "url", "host", "path", "stats").mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
+    decided = ruled.where("rule_verdict is not null").select("id", "host", "path", "rule", F.col("rule_verdict").alias("verdict"))
+    return decided.unionByName(judged).withColumnRenamed("id", id_col)

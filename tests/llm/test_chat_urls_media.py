@@ -113,10 +113,53 @@ def test_held_out_urls(spark):
     ruled = urls.with_rules(df, rules).collect()
     model = urls.fit_urls(urls.with_rules(df.where("page_id % 4 <> 0"), rules))
     test = [r for r in ruled if r.page_id % 4 == 0]
-    right = model.block([(r.url, r.host, r.path) for r in test]) == np.array([r.rule_verdict == "block" for r in test])
+    stats = {r.host: r.stats for r in urls.host_statistics(df.select(urls.host_and_path(F.col("url"))[0].alias("host")), model.statistics).collect()}
+    right = model.block([(r.url, r.host, r.path, stats[r.host]) for r in test]) == np.array([r.rule_verdict == "block" for r in test])
     assert right.mean() > 0.95
 
 
+def test_suffixes_are_counted_over_all_urls_by_brute_force(spark):
+    rows = [(i, f"http://h{i % 50}.s{i % 11}.{'net' if i % 3 else 'org'}/{'es' if i % 2 else 'en'}/{i % 120}") for i in range(400)]
+    rows += [(1000, None), (1001, "no scheme"), (1002, "http:///x"), (1003, "http://net/es/")] * 2
+    ruled = urls.with_rules(spark.createDataFrame(rows, "page_id long, url string"), (("block", "net/es/"), ("allow", "org/")))
+    got = {r.suffix: (r.bad, r.seen) for r in urls.fit_urls(ruled, max_rows=20).statistics.collect()}
+    want = {}
+    for r in {(r.url, r.host, r.rule_verdict) for r in ruled.collect() if r.rule_verdict}:
+        labels = r[1].split(".")
+        for k in range(1, min(3, len(labels)) + 1):
+            bad, seen = want.get(".".join(labels[-k:]), (0, 0))
+            want[".".join(labels[-k:])] = (bad + (r[2] == "block"), seen + 1)
+    assert got == want
+    hosts = {r.host: r.stats for r in urls.host_statistics(ruled, urls.suffix_statistics(ruled)).collect()}
+    assert hosts["h0.s0.org"] == [n for k in ("org", "s0.org", "h0.s0.org") for n in want[k]] and hosts[""] == [0] * 6
+    assert urls.hashed_sample(ruled, "page_id", 20).count() == 20
+
+
+def test_verdicts_by_slow_trees(spark):
+    """Every verdict again: suffixes counted in Python, each tree walked node by node."""
+    rows = [(i, f"https://{'m' if i % 2 else 'www'}.{'casino-win' if i % 3 == 0 else 'news'}{i % 7}.example.{('net', 'org', 'com')[i % 5 % 3]}/{'es' if i % 3 == 0 else 'en'}/{i}?a={i % 4}&b") for i in range(300)]
+    df = spark.createDataFrame([*rows, (900, None), (901, "x")], "page_id long, url string")
+    rules = (("block", "net/es/"), ("allow", "org/"))
+    model = urls.fit_urls(urls.with_rules(df, rules))
+    known = {r.suffix: (r.bad, r.seen) for r in model.statistics.collect()}
+    got = {r.page_id: r for r in urls.judge(df, rules).collect()}
+    assert len(got) == 302
+    for r in urls.with_rules(df, rules).collect():
+        if r.rule_verdict:
+            assert (got[r.page_id].rule, got[r.page_id].verdict) == (r.rule, r.rule_verdict)
+            continue
+        labels = r.host.split(".")
+        stats = [n for k in (1, 2, 3) for n in (known.get(".".join(labels[-k:]), (0, 0)) if k <= len(labels) else (0, 0))]
+        x = urls.lexical_features(r.url or "", r.host, r.path, stats, model.prior)
+        margin = model.trees.prior
+        for feature, threshold, value in model.trees.trees:
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            margin += value[node - len(feature)]
+        assert got[r.page_id].rule is None and got[r.page_id].verdict == ("block" if margin > 0 else "allow")
+
+
 def test_media_round_trip(spark):
     texts = ["", None, "a", "é" * 288, "x" * 575, "y" * 576, "z" * 577, "w " * 60_000, "same", "same"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("media", F.lit(1)).withColumn("feature", F.lit(2))
@@ -132,6 +175,32 @@ def test_media_round_trip(spark):
     assert media.media_columns(df.limit(0)).count() == 0
 
 
+def test_frames_cover_the_end():
+    for n in (576, 1152, 256, 100, 257):
+        quiet = np.full(n, 128, np.uint8)
+        quiet[-40:] = (128 + 100 * np.sin(np.arange(40) * 2 * np.pi / 8)).astype(np.uint8)
+        assert (media.spectral_peaks(quiet)[-1] >= 0).any()
+
+
+def test_fingerprints_by_direct_transform():
+    rng = np.random.default_rng(2)
+    samples = rng.integers(0, 256, 1152).astype(np.uint8)
+    padded = np.concatenate([samples, np.full(128, 128, np.uint8)]).astype(float) - 128
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    peaks = []
+    for start in range(0, len(padded) - 255, 128):
+        part = padded[start : start + 256] * window
+        size = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(256) / 256))) for k in range(128)]
+        level = 2 * np.mean(size[2:])
+        peaks.append([(low + int(np.argmax(size[low:high]))) if max(size[low:high]) > level else -1 for low, high in media.BANDS])
+    assert media.spectral_peaks(samples).tolist() == peaks
+    want = sorted(
+        (f, a << 10 | b << 3 | d) for f in range(len(peaks)) for d in (1, 2) if f + d < len(peaks)
+        for a in peaks[f] for b in peaks[f + d] if a >= 0 and b >= 0
+    )
+    assert [tuple(r) for r in media.fingerprints(samples).tolist()] == want
+
+
 def test_peaks_find_a_tone():
     t = np.arange(8000)
     tone = (128 + 100 * np.sin(2 * np.pi * 20 / media.FRAME * t)).astype(np.uint8)
