@@ -9,12 +9,15 @@ where t_d are a document's tokens, p_d its posterior and T the domain totals
 wanted.  Projected gradient steps, in the metric that weights documents by
 tokens, change r_d by -p_d . g for a short vector g that is the same for all
 documents.  So the solver keeps no rate column between steps: the rates after
-k steps are a fold over k vectors, each step is one aggregate over (tokens,
-posterior) rows, and the fitted mix is the classifier with that list of vectors.
+k steps are a fold over k vectors, and the fitted mix is the classifier with
+that list of vectors.  Steps are implicit (the gradient is taken where the step
+ends), so they may be long; the vector of each is found by a damped Newton
+search for which every trial is one aggregate over (tokens, posterior) rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialise, small_batches, text_of, worker_cache
+from gleaner.llm.common import hashed_sample, materialise, small_batches, text_of, worker_cache
 from gleaner.llm.quality import FEATURES, text_features
 
 MAX_TRAINING_ROWS = 8_000
@@ -100,18 +103,15 @@ def fit_domains(
 
     Keywords are the words whose presence differs most between a domain and
     the rest of the sample, counted in Spark; the driver receives ``keywords``
-    words and ``max_rows`` feature vectors.
+    words and ``max_rows`` feature vectors.  Where several documents have an id,
+    one of them (of smallest hash) stands for it.
     """
     small_batches(docs.sparkSession)
-    chosen = (
-        labelled.where("doc_id is not null and domain is not null")
-        .groupBy("doc_id").agg(F.max("domain").alias("__domain"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
-    sample = materialise(
-        docs.select(docs["doc_id"], text_of(docs["text"]).alias("__text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "__text", "__domain"),
-        "mix-sample",
-    )
+    known = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.max("domain").alias("__domain"))
+    chosen = materialise(hashed_sample(known, "doc_id", max_rows), "mix-labels")
+    sample = docs.select(docs["doc_id"], text_of(docs["text"]).alias("__text")).join(F.broadcast(chosen), "doc_id")
+    one = F.min_by("__text", F.xxhash64("__text"))  # where several documents have an id; combined before the shuffle
+    sample = materialise(sample.groupBy("doc_id").agg(one.alias("__text"), F.min("__domain").alias("__domain")), "mix-sample")
     words = F.array_distinct(F.split(F.lower("__text"), r"[\x20\x09-\x0D]+"))
     counts = (
         sample.select("__domain", F.explode(words).alias("word")).where("word <> ''")
@@ -165,7 +165,8 @@ class Mix:
     least: float
     steps: list[list[float]] = field(default_factory=list)
     wanted: list[float] = field(default_factory=list)
-    reached: list[float] = field(default_factory=list)
+    reached: list[float] = field(default_factory=list)  # by the steps kept
+    converged: bool = False  # within the tolerance, or as near as least squares comes
 
     def rate(self, p: Column) -> Column:
         """The fold of all steps, as a column."""
@@ -179,44 +180,87 @@ class Mix:
         )
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        r = np.full(len(p), max(1.0, self.least))
-        for g in self.steps:
-            r = np.maximum(self.least, r - p @ np.array(g))
-        return r
+        return folded(p, self.steps, self.least)
+
+
+def folded(p: np.ndarray, steps: list[list[float]], least: float) -> np.ndarray:
+    r = np.full(len(p), max(1.0, least))
+    for g in steps:
+        r = np.maximum(least, r - p @ np.array(g))
+    return r
+
+
+def trial_sums(members: DataFrame, steps: list[list[float]], trial: list[float], least: float) -> np.ndarray:
+    """Sums over all rows, for the rates r after ``steps`` and then ``trial``: the tokens, t*r*p (a domain each),
+    t*(r - r before the trial)^2, t*p.p, and t*p*p^T of the rows off the bound."""
+    k = len(trial)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(3 + k + k * k)
+        for batch in batches:
+            t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(t), k)
+            before = folded(p, steps, least)
+            r = np.maximum(least, before - p @ np.array(trial))
+            free = np.where(r > least, t, 0.0)
+            sums += np.concatenate([[t.sum()], (t * r) @ p, [(t * (r - before) ** 2).sum(), (t[:, None] * p * p).sum()], (p.T @ (free[:, None] * p)).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    found = members.select("tokens", "p").mapInArrow(run, "sums array<double>")
+    return np.array([float(v or 0.0) for v in found.agg(*(F.sum(F.col("sums")[i]) for i in range(3 + k + k * k))).first()])
 
 
 def fit_rates(
-    members: DataFrame, model: DomainModel, weights: list[float], growth: float = 1.0, least: float = 0.0, max_steps: int = 25, tolerance: float = 1e-4
+    members: DataFrame, model: DomainModel, weights: list[float], growth: float = 1.0, least: float = 0.0, max_steps: int = 8, tolerance: float = 1e-4
 ) -> Mix:
     """Projected gradient over all rows of ``members``; ``weights`` is each domain's share of ``growth`` times all tokens.
 
-    Each step is scaled by the moment matrix sum t p p^T of the documents that
-    are off the bound (and a little of all), which makes it exact where no bound
-    becomes active.  Each step is one aggregate.  Stops when each
-    total is within ``tolerance`` of all tokens, when a step changes none of
-    them by a tenth of that, or after ``max_steps``; a
-    target that cannot be reached is approached as nearly as least squares does.
+    A step from rates r goes to max(least, r - p.g) with g the gradient at its
+    end over ``damping``: the minimum of the least squares plus ``damping`` times
+    the squared move (less with each step).  Its dual is a smooth concave function of g, climbed by
+    Newton's method with halved moves.  Stops when each total is within
+    ``tolerance`` of all tokens, or when a step's end is a minimum to within that
+    (``converged``), or after ``max_steps``.  A target that cannot be reached is
+    approached as nearly as least squares does.
     """
     k = len(model.domains)
-    p = [F.col("p")[i] for i in range(k)]
-    moments = [F.sum(F.when(F.col("free"), F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]
-    whole = members.withColumn("free", F.lit(True)).agg(F.sum("tokens"), *moments).first()
     mix = Mix(model, least)
-    total = float(whole[0] or 0)
+    nothing = [0.0] * k
+    sums = trial_sums(members, [], nothing, least)
+    total = sums[0]
     if not total:
         return mix
-    every = np.array([float(v) for v in whole[1:]]).reshape(k, k) / total
     wanted = np.array(weights, float) / sum(weights) * growth
     mix.wanted = (wanted * total).tolist()
-    for _ in range(max_steps):
-        rated = members.select("tokens", "p", mix.rate(F.col("p")).alias("r")).withColumn("free", F.col("r") > least)
-        got = [float(v or 0.0) for v in rated.agg(*(F.sum(F.col("tokens") * F.col("r") * p[i]) for i in range(k)), *moments).first()]
-        before, reached = np.array(mix.reached or [np.inf] * k) / total, np.array(got[:k]) / total
+    scale = sums[2 + k] / total
+
+    def dual(g: np.ndarray, sums: np.ndarray, damping: float) -> float:
+        reached, moved = sums[1 : 1 + k] / total, sums[1 + k] / total
+        return float(damping * g @ (reached - wanted) + damping * moved / 2 - damping**2 * g @ g / 2)
+
+    for step in range(max_steps + 1):
+        reached = sums[1 : 1 + k] / total
         mix.reached = (reached * total).tolist()
-        if np.abs(reached - wanted).max() <= tolerance or np.abs(reached - before).max() <= tolerance / 10:
+        damping = scale * max(1e-6, 1e-4 / 3**step)
+        still = step > 0 and 3 * damping * math.sqrt(sums[1 + k] / total) <= tolerance / 10
+        mix.converged = bool(still or np.abs(reached - wanted).max() <= tolerance)
+        if mix.converged or step == max_steps:
             break
-        metric = np.array(got[k:]).reshape(k, k) / total + 0.02 * every + 1e-6 * np.trace(every) * np.eye(k)
-        mix.steps.append([float(f"{v:.12g}") for v in np.linalg.solve(metric, reached - wanted)])
+        g, sums = np.zeros(k), sums if step == 0 else trial_sums(members, mix.steps, nothing, least)
+        for _ in range(20):
+            slope = sums[1 : 1 + k] / total - wanted - damping * g
+            if np.abs(slope).max() <= tolerance / 20:
+                break
+            move = np.linalg.solve(sums[3 + k :].reshape(k, k) / total + damping * np.eye(k), slope)
+            height, length = dual(g, sums, damping), 1.0
+            while length > 1e-3:
+                tried = np.array([float(f"{v:.12g}") for v in g + length * move])
+                there = trial_sums(members, mix.steps, tried.tolist(), least)
+                if dual(tried, there, damping) >= height + 1e-4 * length * damping * float(slope @ move):
+                    break
+                length /= 2
+            g, sums = tried, there
+        mix.steps.append(g.tolist())
     return mix
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches, text_of, worker_cache
+from gleaner.llm.common import hashed_sample, materialise, small_batches, text_of, worker_cache
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "longest_word", "upper", "lower", "digit", "space", "newline",
@@ -212,12 +212,7 @@ def training_labels(labels: DataFrame, target: str, max_rows: int, id_col: str =
     """
     known = with_fold(labels.select(id_col, F.col(target).cast("double").alias("__y")), id_col)
     known = known.where(f"not held_out and __y is not null and {id_col} is not null")
-    return (
-        known.groupBy(id_col)
-        .agg((F.avg("__y") >= 0.5).cast("double").alias("__y"))
-        .orderBy(F.xxhash64(id_col), id_col)
-        .limit(max_rows)
-    )
+    return hashed_sample(known.groupBy(id_col).agg((F.avg("__y") >= 0.5).cast("double").alias("__y")), id_col, max_rows)
 
 
 def fit_quality(
@@ -225,19 +220,24 @@ def fit_quality(
 ) -> AdditiveModel:
     """A model from a bounded sample (``max_rows`` labelled documents).
 
-    Only the sample's features reach the driver: ``max_rows`` short vectors.
+    Only the sample's features reach the driver: one short vector for each of
+    ``max_rows`` ids.  Where several documents have an id, the smallest of their
+    vectors stands for it.
     """
     small_batches(docs.sparkSession)
-    chosen = F.broadcast(training_labels(labels, target, max_rows, id_col))  # at most max_rows pairs of numbers
-    sample = docs.select(docs[id_col].alias(id_col), text_of(docs[text_col]).alias("__text")).join(chosen, id_col)
+    chosen = materialise(training_labels(labels, target, max_rows, id_col), "quality-labels")
+    # at most max_rows pairs of numbers
+    sample = docs.select(docs[id_col].alias(id_col), text_of(docs[text_col]).alias("__text")).join(F.broadcast(chosen), id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("quality")
         for batch in batches:
             x = feature_matrix(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("__y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("__y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    got = sample.select("__text", "__y").mapInArrow(run, "y double, x array<double>").toPandas()
+    kind = sample.schema[id_col].dataType.simpleString()
+    found = sample.select(F.col(id_col).alias("id"), "__text", "__y").mapInArrow(run, f"id {kind}, y double, x array<double>")
+    got = found.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).select("y", "x").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["y"].to_numpy()))  # rows arrive in any order; sums should not depend on it
     return fit_additive(x[order], got["y"].to_numpy(np.float64)[order])

@@ -112,3 +112,50 @@ def test_apply_mix_repeats_rows(spark):
     mix = mixing.Mix(mixing.DomainModel(["a", "b"]), 1.0, [[-1.0, -1.0]])
     got = mixing.apply_mix(docs, mix)
     assert got.columns == docs.columns and got.count() == 100  # rate 1 + 0.5 + 0.5 = 2
+
+
+def test_a_repeated_id_cannot_lift_the_sample(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    seen = []
+    fit, quality.fit_additive = quality.fit_additive, lambda x, y: seen.append(len(y)) or fit(x, y)
+    soft, mixing._softmax_fit = mixing._softmax_fit, lambda x, y, n: seen.append(len(y)) or soft(x, y, n)
+    try:
+        quality.fit_quality(docs, labels, max_rows=50)
+        quality.fit_quality(docs.where("doc_id = 7"), labels, max_rows=50)
+        mixing.fit_domains(docs, mixing.labelled_domains(labels), mixing.DOMAINS, max_rows=50)
+        mixing.fit_domains(docs.where("doc_id = 7"), mixing.labelled_domains(labels), mixing.DOMAINS, max_rows=5000)
+    finally:
+        quality.fit_additive, mixing._softmax_fit = fit, soft
+    assert seen[0] == 50 and seen[1] <= 1 and seen[2] == 50 and seen[3] == 1
+
+
+def test_scores_by_adding_tables_one_by_one():
+    rng = np.random.default_rng(4)
+    x = rng.random((800, 5)).round(2)
+    model = quality.fit_additive(x[:600], ((x[:600, 0] + x[:600, 1] * x[:600, 2]) > 0.8).astype(float), rounds=20)
+    for row, score in zip(x[600:], model.score(x[600:]), strict=True):
+        total = model.intercept
+        for value, cuts, table in zip(row, model.cuts, model.tables, strict=True):
+            total += table[sum(c <= value for c in cuts)]
+        for i, j, a, b, table in model.pairs:
+            total += table[sum(c <= row[i] for c in a), sum(c <= row[j] for c in b)]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+@pytest.mark.parametrize("weights,growth,least", [([0.9, 0.08, 0.02], 1.0, 0.0), ([0.0, 0.0, 1.0], 1.0, 0.0), ([0.98, 0.01, 0.01], 1.1, 1.0), ([1, 1, 1], 0.1, 0.0)])
+def test_totals_of_an_independent_solver(spark, weights, growth, least):
+    """Bounded least squares by coordinate descent; the totals of the optimum are unique, reachable or not."""
+    rows = mixture(60, 5)
+    tokens, p = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    a, wanted = (tokens[:, None] * p) / tokens.sum(), np.array(weights, float) / sum(weights) * growth
+    rate = np.full(len(rows), max(least, 1.0))
+    for _ in range(4000):
+        for d in np.flatnonzero(tokens):
+            rate[d] = max(least, rate[d] + a[d] @ (wanted - rate @ a) / (a[d] @ a[d]))
+    best = rate @ a
+    members = spark.createDataFrame(rows, "id long, tokens long, p array<double>")
+    mix = mixing.fit_rates(members, mixing.DomainModel(["a", "b", "c"]), weights, growth, least)
+    found = mix.rates(p) @ a
+    assert np.allclose(np.array(mix.reached) / tokens.sum(), found, atol=1e-9)
+    assert np.abs(found - best).max() < 5e-3 and ((found - wanted) ** 2).sum() <= ((best - wanted) ** 2).sum() + 1e-4
