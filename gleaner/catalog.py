@@ -149,9 +149,9 @@ def g_near_dups(spark, sf_dir):
     return C.without_near_duplicates(rows).select("file", "hash", *_long("line_start"))
 
 
-def g_near_dup_pairs(spark, sf_dir):
-    docs = T.document_corpus(spark, sf_dir).select("file", X.lines_of(F.col("text")).alias("code_lines"), X.content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
-    return C.near_duplicate_pairs(docs, 0.3).select("hash_a", "hash_b", F.round("similarity", 6).alias("similarity"))
+def g_near_dup_links(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), X.lines_of(F.col("text")).alias("code_lines"))
+    return C.near_duplicate_links(docs).withColumnRenamed("file", "doc_id")
 
 
 def h_tfidf_rerank(spark, sf_dir):
@@ -369,7 +369,7 @@ def r_refine_terms(spark, sf_dir):
 
 
 def r_repomap_pagerank(spark, sf_dir):
-    graph = H.pairs(T.commits(spark, sf_dir), "file", 2, 4).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("w"))
+    graph = H.pairs(T.commits(spark, sf_dir)).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("w"))
     nodes = T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") > 40, 1.0).otherwise(0.05).alias("pers"))
     return E.page_rank(graph, nodes).select("node", F.round("rank", 9).alias("rank"))
 
@@ -434,7 +434,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         flagship, c_line_split_stats, c_match_lines, c_definition_lines, c_symbols, c_file_map, d_match_groups, d_context_windows, d_merged_windows,
         d_sliding_windows, d_definition_blocks, d_python_blocks, e_semantic_tokens, e_exact_token_df, e_scalar_functions, f_chunk_scores,
-        f_chunk_scores_code, g_exact_dups, g_near_dups, g_near_dup_pairs, h_tfidf_rerank, i_bm25_topk, i_recall_code, i_tfidf_window_topk,
+        f_chunk_scores_code, g_exact_dups, g_near_dups, g_near_dup_links, h_tfidf_rerank, i_bm25_topk, i_recall_code, i_tfidf_window_topk,
         i_dense_topk, i_fused_topk, j_churn, j_cochange_pairs, j_anchor_lift, j_file_fusion, j_symbol_graph, j_shuffled_churn,
         k_guaranteed_slots, k_running_cap, k_overlap_anti, k_pack_hybrid, k_pack_vague, l_coverage, l_negative_patterns, l_summary,
         p_focus_terms, p_first_seen, p_intercepts, r_raw_grep, r_whole_files, r_file_rank, r_bm25_windows, r_tfidf_budget, r_syntax_chunks,

@@ -145,7 +145,7 @@ def _pagerank(rounds: int) -> str:
     steps = ["r0 AS (SELECT node, p AS rank FROM base)"]
     for k in range(1, rounds + 1):
         steps.append(f"r{k} AS MATERIALIZED (SELECT b.node, 0.15 * p + 0.85 * coalesce(f, 0) AS rank FROM base b LEFT JOIN (SELECT dst, sum(rank * share) AS f FROM share JOIN r{k - 1} ON node = src GROUP BY dst) x ON x.dst = b.node)")
-    return f"""WITH {COMMITS}, {_pairs(4)}, nodes AS (SELECT p_partkey AS node, CASE WHEN p_size > 40 THEN 1.0 ELSE 0.05 END AS pers FROM part),
+    return f"""WITH {COMMITS}, {_pairs(10)}, nodes AS (SELECT p_partkey AS node, CASE WHEN p_size > 40 THEN 1.0 ELSE 0.05 END AS pers FROM part),
 base AS (SELECT node, pers / (SELECT sum(pers) FROM nodes) AS p FROM nodes), share AS MATERIALIZED (SELECT a AS src, b AS dst, n / sum(n) OVER (PARTITION BY a) AS share FROM pairs),
 {', '.join(steps)} SELECT node, round(rank, 9) AS rank FROM r{rounds}"""
 
@@ -169,11 +169,12 @@ ORACLES = {
     "f_chunk_scores": f"WITH {LINES}, {_scores('lines', WORDS, 1, 1)} SELECT file, line_start, line_end, matches, CAST(score AS BIGINT) AS score, reasons, tokens FROM scored",
     "f_chunk_scores_code": f"WITH {CODE}, {_scores('code', CODEWORDS, 1, 1)} SELECT file, line_start, line_end, matches, CAST(score AS BIGINT) AS score, reasons FROM scored",
     "g_exact_dups": f"WITH {LINES}, {_scores('lines', WORDS, 1, 1)}, r AS (SELECT *, row_number() OVER (PARTITION BY file, hash ORDER BY score DESC, line_start) AS r FROM scored) SELECT file, hash, line_start FROM r WHERE r = 1",
-    "g_near_dup_pairs": """
-WITH d AS (SELECT DISTINCT substr(md5(text), 1, 8) AS hash, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')) AS s FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)),
-l AS (SELECT hash, len(s) AS n, unnest(s) AS line FROM d)
-SELECT a.hash AS hash_a, b.hash AS hash_b, round(count(*) / (a.n + b.n - count(*)), 6) AS similarity FROM l a JOIN l b ON a.line = b.line AND a.hash < b.hash
-GROUP BY a.hash, b.hash, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.3""",
+    "g_near_dup_links": """
+WITH d AS (SELECT doc_id AS file, list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) AS s FROM documents),
+c AS (SELECT s, min(file) AS class_id, len(s) AS n FROM d GROUP BY s), l AS (SELECT class_id, n, unnest(s) AS line FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b FROM l a JOIN l b ON a.line = b.line AND a.class_id < b.class_id GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.7),
+e AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id FROM p UNION ALL SELECT b FROM p) GROUP BY class_id)
+SELECT d.file AS doc_id, c.class_id, coalesce(e.links, 0) AS links FROM d JOIN c ON d.s = c.s LEFT JOIN e ON e.class_id = c.class_id""",
     "h_tfidf_rerank": f"""
 WITH {LINES}, {_scores('lines', WORDS, 1, 1)}, head AS (SELECT file || ':' || line_start AS id, code FROM scored ORDER BY score DESC, file, line_start LIMIT 250),
 t AS (SELECT id, unnest(regexp_extract_all(lower(code), '[a-z0-9_]{{3,}}')) AS token FROM head), tf AS (SELECT id, token, count(*) AS tf FROM t GROUP BY ALL),

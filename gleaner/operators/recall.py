@@ -106,9 +106,19 @@ def both_tops(scores: DataFrame, id_col: str, limit: int = fixed.RECALL_LIMIT) -
     return by_fused.unionByName(by_dense).dropDuplicates([id_col])
 
 
-def recall(corpus: DataFrame, query: Q.CompiledQuery) -> DataFrame:
-    """Recall chunks of a query over definition-aligned blocks."""
-    blocks, postings = index(S.definition_blocks(corpus))
-    return recall_chunks(corpus, top(bm25(blocks, postings, Q.query_tokens(query.text)), "s"))
-
+def recall(corpus: DataFrame, query: Q.CompiledQuery, vectors: DataFrame | None = None, asked_vector: list[float] | None = None) -> DataFrame:
+    """Recall chunks of a query over definition-aligned blocks.
 
+    ``vectors`` (``file, lo, vector`` of the blocks) with the query's own vector
+    adds dense recall: the best by fused score and the best by vector alone.
+    """
+    blocks, postings = index(S.definition_blocks(corpus))
+    rated = bm25(blocks, postings, Q.query_tokens(query.text))
+    if vectors is None:
+        return recall_chunks(corpus, top(rated, "s"))
+    block = F.struct("file", "lo").alias("block")
+    q = F.array(*map(F.lit, asked_vector))
+    sims = vectors.join(blocks.select("file", "lo"), ["file", "lo"], "left_semi").select(block, X.cosine(F.col("vector"), q).alias("sim"))
+    best = both_tops(fused(rated.select(block, "s"), sims, "block", query.options.dense_weight), "block")
+    placed = F.broadcast(best.select("block.file", "block.lo", F.col("fused").alias("s")))  # twice the recall limit at most
+    return recall_chunks(corpus, blocks.join(placed, ["file", "lo"]).select("file", "lo", "hi", "s"))

@@ -100,21 +100,45 @@ def without_near_duplicates(chunks: DataFrame, threshold: float = 0.7) -> DataFr
     return chunks.join(best, (F.col("file") == F.col("__f")) & (F.col("line_start") == F.col("__at")) & (F.col("hash") == F.col("__h")), "left_semi").select(*fields)
 
 
-def near_duplicate_pairs(chunks: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``hash_a, hash_b, similarity`` across files: distinct contents that share lines, by a join on line hashes.
+def line_set_classes(docs: DataFrame) -> DataFrame:
+    """``class_id, lines, n``: one row for each distinct set of lines of ``file, code_lines``, named by its smallest file."""
+    sets = docs.select("file", F.array_sort(X.line_set(F.col("code_lines"))).alias("lines"))
+    return (
+        sets.withColumn("key", F.md5(F.array_join("lines", "\n")))
+        .groupBy("key").agg(F.min("file").alias("class_id"), F.first("lines").alias("lines"))
+        .withColumn("n", F.size("lines"))
+    )
+
+
+def near_duplicate_pairs(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``a < b, similarity`` of the classes whose sets of lines have a Jaccard similarity of ``threshold`` or more.
 
-    Contents are told apart by hash first, so copies are one; pairs come from
-    shared lines and are counted, never enumerated within a group of copies.
+    Candidates share a line among the rarest of either: sets alike by t share
+    more than n - t*n of n lines, so some of the n - ceil(t*n) + 1 rarest.  A line
+    that most documents have is looked at only where a set has little else.  The
+    sets themselves decide.
     """
-    distinct = chunks.groupBy("hash").agg(F.min("code_lines").alias("code_lines"))
-    sets = distinct.select("hash", X.line_set(F.col("code_lines")).alias("s")).withColumn("n", F.size("s"))
-    lines = sets.select("hash", "n", F.explode("s").alias("line")).select("hash", "n", F.xxhash64("line").alias("l"))
-    a, b = lines.toDF("hash_a", "n_a", "l"), lines.toDF("hash_b", "n_b", "l")
-    # sets alike by t share their sizes to the same factor, which thins common lines' pairs
-    size = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    shared = a.join(b, "l").where((F.col("hash_a") < F.col("hash_b")) & size).groupBy("hash_a", "hash_b", "n_a", "n_b").agg(F.count("*").alias("both"))
-    similarity = F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
-    return shared.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("hash_a", "hash_b", "similarity")
+    lines = classes.select("class_id", "n", F.explode("lines").alias("line")).select("class_id", "n", F.xxhash64("line").alias("l"))
+    known = lines.join(lines.groupBy("l").agg(F.count("*").alias("df")), "l")
+    rarest = known.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "l"))).alias("by"))  # one set's lines
+    head = F.slice("by", 1, F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1)
+    marks = rarest.select("class_id", "n", F.explode(F.transform(head, lambda x: x["l"])).alias("l"))
+    left, right = marks.toDF("a", "n_a", "l"), marks.toDF("b", "n_b", "l")
+    size = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+    met = left.join(right, "l").where((F.col("a") < F.col("b")) & size).select("a", "b").distinct()
+    ends = [classes.select(F.col("class_id").alias(x), F.col("lines").alias(f"lines_{x}")) for x in "ab"]
+    both = met.join(ends[0], "a").join(ends[1], "b").withColumn("similarity", X.jaccard(F.col("lines_a"), F.col("lines_b")))
+    return both.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+
+
+def near_duplicate_links(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``file, class_id, links`` of every document: its class and how many other classes are similar to it."""
+    classes = line_set_classes(docs)
+    pairs = near_duplicate_pairs(classes, threshold)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    counted = classes.join(ends, "class_id", "left").select("key", "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+    keyed = docs.select("file", F.md5(F.array_join(F.array_sort(X.line_set(F.col("code_lines"))), "\n")).alias("key"))
+    return keyed.join(counted, "key").select("file", "class_id", "links")
 
 
 def tfidf_cosine(chunks: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from gleaner.operators import segment as S
 from gleaner.plans import query as Q
 from gleaner.sources import tables as T
 
-CANDIDATE_LIMIT = 2000  # scored chunks that packing looks at; the account of the rest is summed in Spark
+CANDIDATE_LIMIT = 2000  # scored chunks whose text packing under a budget looks at; of the rest only the places are listed
 
 
 @dataclass
@@ -126,14 +126,18 @@ def to_slices(rows: list, origin: str) -> list[P.Slice]:
 
 
 def focused_read(
-    spark: SparkSession, source: DataFrame | str, pattern: str, options: Q.Options | None = None, commits: DataFrame | None = None, symbols: DataFrame | None = None, **changes
-) -> Result:
+    spark: SparkSession, source: DataFrame | str, pattern: str, options: Q.Options | None = None, commits: DataFrame | None = None, symbols: DataFrame | None = None,
+    vectors: DataFrame | None = None, asked: list[float] | None = None, **changes,
+) -> Result:
     """Ranked slices of a corpus under a token budget.
 
     ``source`` is ``file, text`` rows or a path.  Recall, history and routing
     run for corpora with a budget; a single file gets negative evidence.
     ``commits`` (``commit_id, ts, file, changed``) and ``symbols``
     (``commit_id, symbol``) give history; without them it has no say.
+    ``vectors`` (``file, lo, vector`` of the definition blocks) and the query's
+    own vector ``asked`` give dense recall to vague queries, fused with BM25 by
+    ``dense_weight``.  Without a budget everything that matched is returned.
     """
     options = options or Q.Options(**changes)
     query = Q.compile_query(pattern, options)
@@ -144,19 +148,20 @@ def focused_read(
     corpus = S.with_lines(source)
     chunks = C.reranked(lexical_chunks(corpus, query), query).persist()
     try:
-        ranked = chunks.orderBy(F.desc("score"), "file", "line_start")
-        head = to_slices(ranked.select(*FIELDS).limit(CANDIDATE_LIMIT).collect(), "lexical")
+        ranked = chunks.orderBy(F.desc("score"), "file", "line_start").select(*FIELDS)
+        head = to_slices((ranked.limit(CANDIDATE_LIMIT) if options.budget > 0 else ranked).collect(), "lexical")
         matched = chunks.select("file").distinct().count()
-        beyond = None
-        if len(head) == CANDIDATE_LIMIT:
-            beyond = chunks.agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).first()
+        beyond = []
+        if options.budget > 0 and len(head) == CANDIDATE_LIMIT:
+            beyond = ranked.select("file", "line_start", "line_end", "tokens", "score", "rank_reason").offset(CANDIDATE_LIMIT).collect()
         searched = max(1, source.count()) if not single else 1
     finally:
         chunks.unpersist()
     recalled: list[P.Slice] = []
     file_scores = None
     if not single and options.semantic and options.budget > 0:
-        rows = R.recall(corpus, query).orderBy(F.desc("score"), "file", "line_start").collect()  # at most the recall limit
+        dense = vectors if query.vague and asked is not None else None
+        rows = R.recall(corpus, query, dense, asked).orderBy(F.desc("score"), "file", "line_start").collect()  # at most the recall limit
         for r in rows:
             recalled.append(P.Slice(r["file"], r["line_start"], r["line_end"], r["score"], r["tokens"], r["code"], ["semantic-recall"], hash="", origin="recall"))
         if commits is not None and options.history != "off" and (head or recalled):
@@ -171,9 +176,8 @@ def focused_read(
     else:
         packing = P.pack(before, options.budget, options.objective)
     left = P.omissions(before, packing)
-    if beyond is not None and beyond["n"] > len(head):
-        rest = beyond["n"] - len(head)
-        left.append(P.Omission("", 0, 0, int(beyond["t"]) - sum(c.tokens for c in head), 0.0, [f"{rest} more regions"], "budget"))
+    left += [P.Omission(r["file"], int(r["line_start"]), int(r["line_end"]), int(r["tokens"]), float(r["score"]), list(r["rank_reason"]), "budget") for r in beyond]
+    left.sort(key=lambda o: -o.score)
     negatives = negative_evidence(corpus, query.patterns, packing.kept) if single else []
     dropped = max(0, len(head) - len(packing.kept)) if single and options.budget else 0
     return Result(query.patterns, packing.kept, left, negatives, searched, matched, options.budget, dropped)

@@ -320,3 +320,40 @@ def test_focus_stream(spark, tmp_path):
 def test_transcript(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"message":{"role":"user","content":"hello"}}\n{"message":{"role":"assistant","content":[{"type":"text","text":"a"},{"type":"tool"}]}}\nbroken\n')
     assert [(r.role, r.text) for r in T.transcript(spark, str(tmp_path / "t.jsonl")).orderBy("turn").collect()] == [("user", "hello"), ("assistant", "a")]
+
+
+def test_everything_is_returned_without_a_budget(spark):
+    rows = [(f"f{i:04}.py", "needle here\n") for i in range(3000)]
+    source = spark.createDataFrame(rows, "file string, text string")
+    whole = focused_read(spark, source, "needle", semantic=False)
+    assert len(whole.chunks) == 3000 and whole.omitted == [] and whole.coverage == 1.0
+    some = focused_read(spark, source, "needle", budget=40, semantic=False)
+    places = {(c.file, c.line_start) for c in [*some.chunks, *some.omitted]}
+    assert len(places) == 3000 and len(some.chunks) + len(some.omitted) == 3000
+    assert all(o.file for o in some.omitted)
+
+
+def test_dense_recall_joins_a_vague_query(spark):
+    rows = [("a.py", "def alpha_one():\n    pass\n"), ("b.py", "def other():\n    return 1\n"), ("c.py", "def third():\n    return 2\n")]
+    source = spark.createDataFrame(rows, "file string, text string")
+    vectors = spark.createDataFrame([("a.py", 0, [0.1, 1.0]), ("b.py", 0, [1.0, 0.1]), ("c.py", 0, [-1.0, 0.0])], "file string, lo int, vector array<double>")
+    plain = focused_read(spark, source, "alpha|beta1|gamma", budget=500)
+    dense = focused_read(spark, source, "alpha|beta1|gamma", budget=500, vectors=vectors, asked=[1.0, 0.0])
+    assert "b.py" not in {c.file for c in plain.chunks}
+    found = {c.file: c.rank_reason for c in dense.chunks}
+    assert found["b.py"] == ["semantic-recall"] and "a.py" in found and "c.py" not in found
+    precise = focused_read(spark, source, "alpha_one", budget=500, vectors=vectors, asked=[1.0, 0.0])
+    assert "b.py" not in {c.file for c in precise.chunks}
+
+
+def test_links_of_similar_documents_by_brute_force(spark):
+    rng = random.Random(3)
+    pool = [f"line {i}" for i in range(30)]
+    sets = [[rng.choice(pool) for _ in range(rng.randrange(0, 8))] for _ in range(120)] + [["common"] + [f"own {i}"] for i in range(40)] + [["common"]] * 30
+    sets += [[*s, " "] for s in sets[:20]] + [[s, "x", "y", "z"] for s in pool[:10]]
+    docs = spark.createDataFrame(list(enumerate(sets)), "file long, code_lines array<string>")
+    got = {r.file: (r.class_id, r.links) for r in C.near_duplicate_links(docs, 0.5).collect()}
+    plain = [frozenset(x.strip() for x in s if x.strip()) for s in sets]
+    first = {s: i for i, s in reversed(list(enumerate(plain)))}
+    links = {s: sum(1 for t in first if t != s and s & t and len(s & t) / len(s | t) >= 0.5) for s in first}
+    assert got == {i: (first[s], links[s]) for i, s in enumerate(plain)}
