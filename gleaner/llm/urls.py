@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import ascii_lower, discard, hashed_sample, materialise
 
 MAX_TRAINING_ROWS = 20_000
+SALTS = 64
 SUFFIXES = 3  # the last one, two and three labels of a host
 
 # Rules of the query (fixed values): verdict and rule, a host and the start of a path.
@@ -195,8 +196,10 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     model = fit_urls(ruled, "url", max_rows)
     trees, prior = model.trees, model.prior
     left = ruled.where("rule_verdict is null").select("id", "url", "host", "path")
-    # a host of many pages makes one side uneven only, which adaptive execution splits
-    left = left.join(host_statistics(left, model.statistics), "host")
+    # a host of many pages is dealt to as many tasks; each has the host's one row
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    hosts = host_statistics(left, model.statistics).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = salted.join(hosts, ["host", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -184,8 +184,8 @@ def test_frames_cover_the_end():
 
 def test_fingerprints_by_direct_transform():
     rng = np.random.default_rng(2)
-    samples = rng.integers(0, 256, 1152).astype(np.uint8)
-    padded = np.concatenate([samples, np.full(128, 128, np.uint8)]).astype(float) - 128
+    samples = rng.integers(0, 256, 1728).astype(np.uint8)
+    padded = np.concatenate([samples, np.full(64, 128, np.uint8)]).astype(float) - 128
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
     peaks = []
     for start in range(0, len(padded) - 255, 128):
