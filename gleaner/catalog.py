@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner import catalog_sql as SQL
+from gleaner import catalog_tasks
 from gleaner.functions import fixed
 from gleaner.functions import text as X
 from gleaner.operators import evaluate as E
@@ -380,12 +381,17 @@ def r_router_margin(spark, sf_dir):
 
 
 def r_router_logistic(spark, sf_dir):
-    """Training accuracy of a logistic model of the router's kind on labelled documents."""
-    docs = T.table(spark, sf_dir, "documents").join(T.table(spark, sf_dir, "labels"), "doc_id").where("quality is not null")
-    x = docs.select(F.col("quality").cast("double").alias("label"), F.log1p(F.length("text")).alias("a"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("b"), (F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("c"))
-    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(x).select("label", "features")
-    model = LogisticRegression(maxIter=100, regParam=0.0).fit(rows)
-    return model.transform(rows).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 2).alias("accuracy"))
+    """Training accuracy of a logistic model over the router's seven features; the label is the plain router's verdict.
+
+    Queries are the first one to five words of each document.
+    """
+    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    rows = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.slice(words, 1, (F.col("doc_id") % 5 + 1).cast("int")).alias("patterns"))
+    plain = (F.size("patterns") >= 3) & F.forall("patterns", lambda x: x.rlike("^[a-z][a-z0-9]{3,}$"))
+    labels = rows.select("query_id", plain.cast("double").alias("label"))
+    x = E.router_features(rows).join(labels, "query_id").select("label", array_to_vector("features").alias("features"))
+    model = LogisticRegression(maxIter=400, regParam=1e-4, fitIntercept=False, standardization=False).fit(x)
+    return model.transform(x).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 2).alias("accuracy"))
 
 
 def r_symbol_tasks(spark, sf_dir):
@@ -445,8 +451,8 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | catalog_tasks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in SQL.ORACLES.items() if name in QUERIES}
+    return SQL.ORACLES | catalog_tasks.ORACLES

@@ -224,6 +224,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY round(weight, 9
     "r_whole_files": f"WITH {LINES} SELECT file, any_value(n) AS n FROM lines GROUP BY file HAVING bool_or(regexp_matches(line, '(?i)tionn'))",
     "r_file_rank": f"WITH {LINES}, f AS (SELECT file, sum(CASE WHEN regexp_matches(line, '(?i)src1|tion') THEN 1 ELSE 0 END) AS hits, greatest(1, length(string_agg(line, chr(10) ORDER BY line_no)) // 4) AS tokens FROM lines GROUP BY file), s AS (SELECT file, CAST(hits + CASE WHEN regexp_matches(lower(string_split(file, '/')[-1]), 'src1|tion') THEN 10 ELSE 0 END - CASE WHEN contains(lower(file), 'test') THEN 5 ELSE 0 END AS BIGINT) AS score, tokens FROM f WHERE hits > 0), r AS (SELECT *, sum(tokens) OVER (ORDER BY score DESC, file ROWS UNBOUNDED PRECEDING) AS upto FROM s) SELECT file, score, tokens FROM r WHERE upto - tokens < 8000",
     "r_bm25_windows": f"WITH {WINDOWS}, {_index('[a-z0-9_]{2,}', False)}, {_bm25({'the': 1, 'and': 1, 'with': 1}, 1.5)} SELECT file, lo, hi, round(s, 6) AS s FROM rated WHERE rated.s > 0 ORDER BY rated.s DESC, file DESC, lo DESC LIMIT 50",
+    "r_tfidf_budget": f"WITH {WINDOWS}, {_index(SEM_WORDS, True)}, {_tfidf('ln(n / (1 + df))')}, best AS (SELECT * FROM rated ORDER BY round(rated.s, 9) DESC, file DESC, lo DESC LIMIT 50), sized AS (SELECT b.file, b.lo, b.hi, b.s, greatest(1, sum(length(line) + 1) // 4) AS tokens FROM best b JOIN lines l ON l.file = b.file AND l.line_no >= b.lo AND l.line_no < b.hi GROUP BY ALL), r AS (SELECT *, sum(tokens) OVER (ORDER BY round(s, 9) DESC, file DESC, lo DESC ROWS UNBOUNDED PRECEDING) AS upto FROM sized) SELECT file, lo, hi, CAST(tokens AS BIGINT) AS tokens FROM r WHERE upto - tokens < 2000",
+    "r_syntax_chunks": f"WITH {CODE} SELECT file, line_no AS lo, line_no + 4 AS hi FROM code WHERE starts_with(line, 'def ')",
     "r_hit_rate": """
 WITH t AS (SELECT DISTINCT item_id AS task, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)))) AS line FROM benchmark),
 d AS (SELECT DISTINCT unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)))) AS line FROM documents)

@@ -108,6 +108,31 @@ def containment(truth: DataFrame, context: DataFrame) -> DataFrame:
     return rows.groupBy("task").agg(F.count("__in").alias("found"), F.count("*").alias("wanted")).withColumn("hit", F.col("found") == F.col("wanted"))
 
 
+def grep_windows(corpus: DataFrame, patterns: list[str], around: int = 60) -> DataFrame:
+    """``file, lo, hi, code``: matching lines with so many lines on either side, as text; windows that touch are one."""
+    rows = S.windows(S.with_groups(S.with_hits(corpus, patterns), 2 * around + 1), around, around)
+    return rows.select("file", "lo", "hi", S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))).alias("code"))
+
+
+def context_scores(spans: DataFrame, contexts: DataFrame, limit: int = CONTEXT_TOKENS) -> DataFrame:
+    """``task, hit, coverage, relevant, tokens, irrelevant`` of ``spans (task, text)`` and ``contexts (task, text)``.
+
+    A context is cut at the limit.  A span is covered if all its stripped lines
+    are lines of its task's context; the task is a hit if all spans are.
+    ``relevant`` are tokens of span lines found, ``irrelevant`` the share of the
+    context's tokens beyond them.  Tasks without a context are left out.
+    """
+    cut = F.when(X.estimated_tokens(F.col("text")) > limit, F.substring("text", 1, 4 * limit)).otherwise(F.col("text"))
+    have = contexts.select("task", X.line_set(X.lines_of(cut)).alias("have"), X.estimated_tokens(cut).alias("tokens"))
+    rows = spans.select("task", X.line_set(X.lines_of(F.col("text"))).alias("want")).join(have, "task")
+    covered = (F.size(F.array_except("want", "have")) == 0).cast("double")
+    chars = F.aggregate(F.array_intersect("want", "have"), F.lit(0), lambda n, x: n + F.length(x))
+    sums = rows.groupBy("task").agg(
+        (F.min(covered) == 1).alias("hit"), F.avg(covered).alias("coverage"), F.floor(F.sum(chars) / 4).alias("relevant"), F.first("tokens").alias("tokens")
+    )
+    return sums.withColumn("irrelevant", F.greatest(F.lit(0.0), 1 - F.col("relevant") / F.col("tokens")))
+
+
 def refine_terms(text: DataFrame, asked: str, limit: int = 4, stop: list[str] | None = None) -> DataFrame:
     """``term, n``: identifiers of a context to search next: shaped ones first, then by count.
 

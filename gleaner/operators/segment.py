@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -120,36 +121,56 @@ def definition_blocks(corpus: DataFrame) -> DataFrame:
     return marked.select("file", "lines", F.explode(F.when(F.size("__begin") > 0, aligned).otherwise(plain)).alias("b")).select("file", "lines", "b.lo", "b.hi")
 
 
+def _block_spans(heads: list[int], indents: list[int], skips: list[bool]) -> tuple[list[int | None], list[int | None]]:
+    """Each line's header line and the header's end, in one pass; -1 marks no header, or a blank line.
+
+    Headers above that can still be the last with a smaller indent form a stack
+    of rising indents, and so do headers whose end has not come yet.
+    """
+    above: list[int] = []  # lines of headers
+    unended: list[int] = []
+    ends: dict[int, int] = {}
+    owners: list[int | None] = []
+    depth = -1
+    for i, (head, indent, skip) in enumerate(zip(heads, indents, skips, strict=True)):
+        depth = indent if indent >= 0 else depth
+        while not skip and unended and indent <= heads[unended[-1]]:
+            ends[unended.pop()] = i
+        if head < 0:
+            place = bisect_left(above, depth, key=heads.__getitem__)
+            owners.append(above[place - 1] if place else None)
+            continue
+        while above and heads[above[-1]] >= head:
+            above.pop()
+        above.append(i)
+        unended.append(i)
+        owners.append(i)
+    return owners, [None if h is None else ends.get(h, len(heads)) for h in owners]
+
+
 def python_blocks(corpus: DataFrame) -> DataFrame:
     """``file, line_no, lo, hi``: each line's innermost def or class, by indent, ``hi`` exclusive; null outside any.
 
-    An as-of search with a condition, kept inside the file's array: the last
-    header above with a smaller indent, and the first later line, blank and
-    comment lines apart, that is not deeper than the header.
+    An as-of search with a condition: the last header above with a smaller
+    indent, and the first later line, blank and comment lines apart, that is not
+    deeper than the header.  Lines are judged by column expressions; only their
+    indents go through Python, once, in time linear in the file.
     """
-    facts = F.transform(
-        "lines",
-        lambda line, i: F.struct(
-            i.alias("no"),
-            F.when(line.rlike(fixed.PYTHON_HEADER), F.length(F.regexp_extract(line, fixed.PYTHON_HEADER, 1))).alias("head"),
-            F.when(F.trim(line) != "", X.indent_of(line)).alias("indent"),
-            ((F.trim(line) == "") | F.ltrim(line).startswith("#")).alias("skip"),
-        ),
+    facts = corpus.select(
+        "file",
+        F.transform("lines", lambda x: F.when(x.rlike(fixed.PYTHON_HEADER), F.length(F.regexp_extract(x, fixed.PYTHON_HEADER, 1))).otherwise(-1)).alias("heads"),
+        F.transform("lines", lambda x: F.when(F.trim(x) != "", X.indent_of(x)).otherwise(-1)).alias("indents"),
+        F.transform("lines", lambda x: (F.trim(x) == "") | F.ltrim(x).startswith("#")).alias("skips"),
     )
-    rows = corpus.withColumn("__facts", facts)
-    rows = rows.withColumn("__heads", F.filter("__facts", lambda f: f["head"].isNotNull()))
-    rows = rows.withColumn("__ends", F.filter("__facts", lambda f: ~f["skip"]))
-    rows = rows.select("file", "__heads", "__ends", F.size("lines").alias("__n"), F.explode("__facts").alias("t"), "__facts")
-    solid = F.element_at(F.filter(F.slice("__facts", 1, F.col("t.no") + 1), lambda f: f["indent"].isNotNull()), -1)
-    rows = rows.withColumn("__indent", F.when(F.exists(F.slice("__facts", 1, F.col("t.no") + 1), lambda f: f["indent"].isNotNull()), solid["indent"]))
-    above = F.filter("__heads", lambda h: (h["no"] < F.col("t.no")) & (h["head"] < F.col("__indent")))
-    header = F.when(F.col("t.head").isNotNull(), F.struct(F.col("t.no").alias("no"), F.col("t.head").alias("head"))).when(
-        F.size(above) > 0, F.struct(F.element_at(above, -1)["no"].alias("no"), F.element_at(above, -1)["head"].alias("head"))
-    )
-    rows = rows.withColumn("__h", header)
-    after = F.filter("__ends", lambda e: (e["no"] > F.col("__h.no")) & (e["indent"] <= F.col("__h.head")))
-    end = F.when(F.col("__h").isNotNull(), F.when(F.size(after) > 0, after[0]["no"]).otherwise(F.col("__n")))
-    return rows.select("file", F.col("t.no").alias("line_no"), F.col("__h.no").alias("lo"), end.alias("hi"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_block_spans(*map(list, row)) for row in zip(batch["heads"], batch["indents"], batch["skips"], strict=True)]
+            yield pd.DataFrame({"file": batch["file"], "los": [f[0] for f in found], "his": [f[1] for f in found]})
+
+    spans = facts.mapInPandas(run, "file string, los array<int>, his array<int>")
+    rows = spans.select("file", F.posexplode(F.arrays_zip("los", "his")).alias("line_no", "b"))
+    return rows.select("file", "line_no", F.col("b.los").alias("lo"), F.col("b.his").alias("hi"))
 
 
 def enclosing_block(lines: list[str], target: int, language: str) -> tuple[int, int, int | None]:
