@@ -57,9 +57,8 @@ def bm25_tokens(text: Column) -> Column:
 
 def bm25_windows(corpus: DataFrame, query: Q.CompiledQuery, limit: int = 50) -> DataFrame:
     """``file, lo, hi, s`` of the best line windows by BM25 with the usual library's constants (k1 1.5, b 0.75)."""
-    blocks, postings = R.index(S.sliding_windows(corpus), bm25_tokens)
     words = re.findall(r"[a-z0-9_]{2,}", query.text.replace("\\", "").replace("|", " ").lower())
-    return R.top(R.bm25(blocks, postings, {w: words.count(w) for w in words}, 1.5, 0.75), "s", limit)
+    return R.top(R.bm25(S.sliding_windows(corpus), {w: words.count(w) for w in words}, bm25_tokens, 1.5, 0.75), "s", limit)
 
 
 def syntax_chunks(corpus: DataFrame) -> DataFrame:

@@ -24,22 +24,26 @@ def asked(spark, weights: dict[str, int]) -> DataFrame:
     return spark.createDataFrame(sorted(weights.items()), "token string, qw int")
 
 
-def bm25(blocks: DataFrame, postings: DataFrame, weights: dict[str, int], k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
-    """``file, lo, hi, s`` of the blocks that have a token of the query.
+def bm25(blocks: DataFrame, weights: dict[str, int], tokens=X.sem_tokens, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
+    """``file, lo, hi, s`` of the blocks (``file, lines, lo, hi``) that have a token of the query.
 
-    The query is broadcast, so postings are filtered where they lie and only
-    matching ones are shuffled; document frequencies are counted from the same.
+    A block is one row, so its counts of the query's few tokens stay in the row:
+    no postings are built or shuffled.  Only one row of totals (blocks, tokens,
+    and blocks with each token) is aggregated and broadcast.
     """
-    spark = blocks.sparkSession
-    hits = postings.join(F.broadcast(asked(spark, weights)), "token")
-    totals = blocks.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))  # one row for each word of the query
-    rated = (
-        hits.join(F.broadcast(df), "token").join(blocks, ["file", "lo"]).crossJoin(F.broadcast(totals))
-        .withColumn("norm", k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        .withColumn("part", F.col("qw") * X.idf_bm25(F.col("n"), F.col("df")) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + F.col("norm")))
-    )
-    return rated.groupBy("file", "lo", "hi").agg(F.sum("part").alias("s")).where("s > 0")
+    asked_for = sorted(weights.items())
+    words = blocks.select("file", "lo", "hi", tokens(S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi")))).alias("words"))
+    wanted = [w for w, _ in asked_for]
+    rows = words.select("file", "lo", "hi", F.size("words").alias("dl"), F.filter("words", lambda x: x.isin(*wanted) if wanted else F.lit(False)).alias("hits"))
+    filled = (F.col("dl") > 0).cast("bigint")
+    df = [F.sum(F.array_contains("hits", w).cast("bigint")).alias(f"df{i}") for i, w in enumerate(wanted)]
+    totals = rows.agg(F.sum(filled).alias("n"), (F.sum("dl") / F.sum(filled)).alias("avgdl"), *df)
+    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    score = F.lit(0.0)
+    for i, (word, weight) in enumerate(asked_for):
+        tf = F.size("hits") - F.size(F.array_remove("hits", word))
+        score = score + F.when(tf > 0, weight * X.idf_bm25(F.col("n"), F.col(f"df{i}")) * (tf * (k1 + 1)) / (tf + norm)).otherwise(0.0)
+    return rows.crossJoin(F.broadcast(totals)).select("file", "lo", "hi", score.alias("s")).where("s > 0")
 
 
 def top(scored: DataFrame, score: str, limit: int = fixed.RECALL_LIMIT) -> DataFrame:
@@ -112,8 +116,8 @@ def recall(corpus: DataFrame, query: Q.CompiledQuery, vectors: DataFrame | None
     ``vectors`` (``file, lo, vector`` of the blocks) with the query's own vector
     adds dense recall: the best by fused score and the best by vector alone.
     """
-    blocks, postings = index(S.definition_blocks(corpus))
-    rated = bm25(blocks, postings, Q.query_tokens(query.text))
+    blocks = S.definition_blocks(corpus)
+    rated = bm25(blocks, Q.query_tokens(query.text))
     if vectors is None:
         return recall_chunks(corpus, top(rated, "s"))
     block = F.struct("file", "lo").alias("block")
