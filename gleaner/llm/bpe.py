@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import small_batches, text_of, worker_cache
+from gleaner.llm.common import give_back, small_batches, text_of, worker_cache
 
 MAX_STATES, MAX_SIMULATED, MAX_PAIRS = 30_000, 300_000, 400_000  # of a worker's caches: memory against time
 LOCKSTEP_BYTES = 96
@@ -75,7 +75,7 @@ class Transducer:
         self.table = np.zeros((1024, 257), np.int32)
         self.target = np.zeros(1024, np.int32)
         self.first = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
+        self.count = np.zeros(1024, np.int32)
         self.output: list[int] = []
         self.simulated: dict[bytes, list[int]] = {}
         # (open bytes since the start, last token before it or -1, tokens not yet emitted up to it)
@@ -226,17 +226,21 @@ class Transducer:
         whole = lengths[left] + 1  # what these pieces emitted before they left does not count
         slot_of = np.repeat(slots[left] - (np.cumsum(whole) - whole), whole) + np.arange(whole.sum())
         met[slot_of] = self.DEAD
-        first, counts = self.first[met], self.count[met]
-        output = self.output.copy()
-        raw = data.tobytes()
-        for piece, begin, length in zip(left.tolist(), starts[left].tolist(), lengths[left].tolist(), strict=True):
-            ids = self.simulate(raw[begin : begin + length])
-            at_end = slots[piece] + length
-            first[at_end], counts[at_end] = len(output), len(ids)
-            output.extend(ids)
-        ends = np.cumsum(counts)
-        source = np.arange(ends[-1]) + np.repeat(first - (ends - counts), counts)
-        return np.array(output, np.int64)[source], ends[slots + lengths]
+        counts = self.count[met]
+        ends = slots + lengths
+        walked, begins = [], []
+        for begin, length in zip(starts[left].tolist(), lengths[left].tolist(), strict=True):
+            begins.append(len(self.output) + len(walked))
+            walked.extend(self.simulate(data[begin : begin + length].tobytes()))
+        begins = np.array(begins, np.int64)
+        found = np.diff(begins, append=len(self.output) + len(walked))
+        counts[ends[left]] = found
+        emits = np.flatnonzero(counts)  # most slots emit nothing, so only these are widened
+        first, counts = self.first[met[emits]], counts[emits].astype(np.int64)
+        first[np.searchsorted(emits, ends[left][found > 0])] = begins[found > 0]
+        known = np.concatenate([[0], np.cumsum(counts)])
+        source = np.arange(known[-1]) + np.repeat(first - known[:-1], counts)
+        return np.array(self.output + walked, np.int64)[source], known[np.searchsorted(emits, ends, side="right")]
 
     def simulate(self, piece: bytes) -> list[int]:
         """The same walk over open starts, for one piece, with no states made."""
@@ -351,6 +355,29 @@ def slices(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def encode_rows(codec: Codec, batch: pa.RecordBatch, keep_ids: bool) -> pa.RecordBatch:
+    """The results for a batch of ids and texts; what it took besides is free when this returns."""
+    counts, all_ids, ids_sha, text_sha = [], [np.zeros(0, np.int64)], [], []
+    for texts in slices(batch.column(1).to_pylist()):
+        for ids in codec.encode_batch(texts):
+            decoded = hashlib.sha256()
+            parts = (ids[i : i + DECODE_CHUNK] for i in range(0, len(ids), DECODE_CHUNK))
+            for part in codec.decode_stream(parts):
+                decoded.update(part.encode("utf-8"))
+            counts.append(len(ids))
+            ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            text_sha.append(decoded.hexdigest())
+            if keep_ids:
+                all_ids.append(ids)
+    columns = [batch.column(0), pa.array(counts, pa.int64())]
+    if keep_ids:  # numbers throughout: a list of Python's takes nine times the memory
+        offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids))))
+    columns += [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+    names = ["id", "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def encode_documents(
     docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True,
     caches: tuple[int, int, int] = (MAX_STATES, MAX_SIMULATED, MAX_PAIRS),
@@ -375,24 +402,8 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(shared.value, pattern, caches)
         for batch in batches:
-            counts, all_ids, ids_sha, text_sha = [], [], [], []
-            for texts in slices(batch.column(1).to_pylist()):
-                for ids in codec.encode_batch(texts):
-                    decoded = hashlib.sha256()
-                    parts = (ids[i : i + DECODE_CHUNK] for i in range(0, len(ids), DECODE_CHUNK))
-                    for part in codec.decode_stream(parts):
-                        decoded.update(part.encode("utf-8"))
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    text_sha.append(decoded.hexdigest())
-                    if keep_ids:
-                        all_ids.append(ids.tolist())
-            columns = [batch.column(0), pa.array(counts, pa.int64())]
-            if keep_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int64())))
-            columns += [pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["id", "n_tokens", *(["ids"] if keep_ids else []), "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield encode_rows(codec, batch, keep_ids)
+            give_back()
 
     schema = f"id {kind}, n_tokens bigint, {'ids array<bigint>, ' if keep_ids else ''}ids_sha256 string, decoded_sha256 string"
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(setting, str(rows))
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system; allocators keep what is freed, and workers outlive stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 _HELD: dict[str, dict] = {}
 
 
@@ -96,6 +106,8 @@ def worker_cache(operator: str) -> dict:
     """
     for other in [name for name in _HELD if name != operator]:
         del _HELD[other]
+    gc.collect()
+    give_back()
     return _HELD.setdefault(operator, {})
 
 

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers as P
@@ -66,3 +69,43 @@ def test_documents(spark, exact):
 def test_token_table(codec):
     assert codec.token_text(np.zeros(0, np.int64)) == b""
     assert all(codec.token_text(np.array([t])) == b for t, b in list(codec.transducer.token_bytes.items())[::997])
+
+
+def test_odd_cuts_beside_walked_pieces(exact):
+    with open(VOCABULARY, "rb") as f:
+        small = bpe.Codec(bpe.parse_ranks(f.read()), P.PATTERN)
+    small.transducer.max_states = 20
+    assert [a.tolist() for a in small.transducer.run(np.zeros(0, np.uint8), np.zeros(3, np.int64))] == [[], [0, 0, 0]]
+    texts = ["", "x" * 200, "", "q", "", "unprecedented " + "y" * 97, ""]
+    assert [ids.tolist() for ids in small.encode_batch(texts)] == [exact.encode_ordinary(t) for t in texts]
+
+
+FREED = """
+import random, re
+import public_tokenizers as P
+from gleaner.llm import bpe, common
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Anonymous:\\s+(\\d+)", f.read())[1]) / 1024
+
+rng = random.Random(1)
+words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+    raw = f.read()
+before = held()
+codec = bpe.codec_for(raw, P.PATTERN, (2000, 3000, 3000))
+for _ in range(4):
+    codec.encode_batch([" ".join(rng.choices(words, k=200)) for _ in range(1000)])
+del codec
+common.worker_cache("another operator")
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_worker_that_turns_to_other_work_gives_its_memory_back():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", FREED], capture_output=True, text=True, env={**os.environ, "PYTHONPATH": root}, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 20, f"{done.stdout.strip()} MB kept"
