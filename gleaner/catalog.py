@@ -53,23 +53,22 @@ def c_match_lines(spark, sf_dir):
     )
 
 
-def _groups(spark, sf_dir, gap):
-    return S.with_groups(S.with_hits(_documents(spark, sf_dir), Q.compile_query(WORDS).patterns), gap)
+def _hits(spark, sf_dir):
+    return S.with_hits(_documents(spark, sf_dir), Q.compile_query(WORDS).patterns)
 
 
 def d_match_groups(spark, sf_dir):
-    return _groups(spark, sf_dir, 2).select("file", *_long("first", "last"), F.size("targets").cast("bigint").alias("hits"), F.size("found").cast("bigint").alias("matches"))
+    return S.with_groups(_hits(spark, sf_dir), 2).select("file", *_long("first", "last"), F.size("targets").cast("bigint").alias("hits"), F.size("found").cast("bigint").alias("matches"))
 
 
 def d_context_windows(spark, sf_dir):
-    rows = S.windows(_groups(spark, sf_dir, 2), 1, 1)
-    code = S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi")))
-    return rows.select("file", *_long("lo", "hi"), code.alias("code")).select("file", "lo", "hi", X.content_hash(F.col("code")).alias("hash"), X.estimated_tokens(F.col("code")).alias("tokens"))
+    rows = S.windows(_hits(spark, sf_dir), 2, 1, 1)
+    return rows.select("file", *_long("lo", "hi"), S.as_text(F.col("code_lines")).alias("code")).select("file", "lo", "hi", X.content_hash(F.col("code")).alias("hash"), X.estimated_tokens(F.col("code")).alias("tokens"))
 
 
 def d_merged_windows(spark, sf_dir):
     hits = S.with_hits(_documents(spark, sf_dir), ["ing"])
-    return S.windows(S.with_groups(hits, 2 * 2 + 1), 2, 2).select("file", *_long("lo", "hi"))
+    return S.windows(hits, 2 * 2 + 1, 2, 2).select("file", *_long("lo", "hi"))
 
 
 def d_sliding_windows(spark, sf_dir):
@@ -123,7 +122,7 @@ def d_python_blocks(spark, sf_dir):
 
 def _scored(corpus, pattern, before, after):
     query = Q.compile_query(pattern)
-    return C.scored(C.regions(S.windows(S.with_groups(S.with_hits(corpus, query.patterns), before + after), before, after)), query.patterns)
+    return C.scored(C.regions(S.windows(S.with_hits(corpus, query.patterns), before + after, before, after)), query.patterns)
 
 
 def f_chunk_scores(spark, sf_dir):
@@ -246,7 +245,7 @@ def k_running_cap(spark, sf_dir):
 
 
 def k_overlap_anti(spark, sf_dir):
-    rows = S.windows(_groups(spark, sf_dir, 2), 1, 1)
+    rows = S.windows(_hits(spark, sf_dir), 2, 1, 1)
     chosen = S.sliding_windows(_documents(spark, sf_dir)).where(F.col("lo") % 80 == 0).select("file", (F.col("lo") + 1).alias("line_start"), (F.col("lo") + 3).alias("line_end"))
     left = P.without_overlaps(rows.select("file", (F.col("lo") + 1).alias("line_start"), F.col("hi").alias("line_end")), chosen)
     return left.select("file", *_long("line_start", "line_end"))
@@ -295,7 +294,7 @@ def l_coverage(spark, sf_dir):
 def l_negative_patterns(spark, sf_dir):
     patterns = ["the", "tion", "zzzz", "qqqq", "ing"]
     corpus = _documents(spark, sf_dir)
-    kept = S.windows(S.with_groups(S.with_hits(corpus, ["tion"]), 2), 0, 0).select("file", F.explode(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))).alias("line"))
+    kept = S.windows(S.with_hits(corpus, ["tion"]), 2, 0, 0).select("file", F.explode("code_lines").alias("line"))
     inside = kept.agg(*(F.max(Q.matches(F.col("line"), p)).alias(f"i{k}") for k, p in enumerate(patterns)))
     anywhere = S.exploded(corpus).agg(*(F.max(Q.matches(F.col("line"), p)).alias(f"a{k}") for k, p in enumerate(patterns)))
     status = [

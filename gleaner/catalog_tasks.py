@@ -20,8 +20,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d_function_regions(spark, sf_dir):
-    groups = S.with_groups(S.with_hits(T.code_corpus(spark, sf_dir), ["return", "size"]), 1)
-    return S.function_regions(groups).select("file", *(F.col(c).cast("bigint").alias(c) for c in ("first", "last", "lo", "hi")), "symbol")
+    hits = S.with_hits(T.code_corpus(spark, sf_dir), ["return", "size"])
+    return S.function_regions(hits, 1, code=False).select("file", *(F.col(c).cast("bigint").alias(c) for c in ("first", "last", "lo", "hi")), "symbol")
 
 
 def e_relative_paths(spark, sf_dir):

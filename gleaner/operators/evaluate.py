@@ -109,8 +109,8 @@ def containment(truth: DataFrame, context: DataFrame) -> DataFrame:
 
 def grep_windows(corpus: DataFrame, patterns: list[str], around: int = 60) -> DataFrame:
     """``file, lo, hi, code``: matching lines with so many lines on either side, as text; windows that touch are one."""
-    rows = S.windows(S.with_groups(S.with_hits(corpus, patterns), 2 * around + 1), around, around)
-    return rows.select("file", "lo", "hi", S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))).alias("code"))
+    rows = S.windows(S.with_hits(corpus, patterns), 2 * around + 1, around, around)
+    return rows.select("file", "lo", "hi", S.as_text(F.col("code_lines")).alias("code"))
 
 
 def context_scores(spans: DataFrame, contexts: DataFrame, limit: int = CONTEXT_TOKENS) -> DataFrame:

@@ -14,10 +14,10 @@ from gleaner.plans import query as Q
 
 
 def regions(groups: DataFrame) -> DataFrame:
-    """``file, line_start, line_end, code_lines, found, symbol`` of groups with ``lo, hi``."""
+    """``file, line_start, line_end, code_lines, found, symbol`` of groups with ``lo, hi, code_lines``."""
     symbol = F.col("symbol") if "symbol" in groups.columns else F.lit(None).cast("string")
     return groups.select(
-        "file", (F.col("lo") + 1).alias("line_start"), F.col("hi").alias("line_end"), S.code_of(F.col("lines"), F.col("lo"), F.col("hi")).alias("code_lines"), "found", symbol.alias("symbol")
+        "file", (F.col("lo") + 1).alias("line_start"), F.col("hi").alias("line_end"), "code_lines", "found", symbol.alias("symbol")
     )
 
 

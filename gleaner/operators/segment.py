@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,8 +39,8 @@ def with_hits(corpus: DataFrame, patterns: list[str]) -> DataFrame:
     return corpus.withColumn("hits", F.filter(hits, lambda h: h.isNotNull() & (F.size(h["found"]) > 0)))
 
 
-def with_groups(hits: DataFrame, gap: int) -> DataFrame:
-    """Explodes ``hits`` to ``first, last, found, targets``: runs of matches at most ``gap`` lines apart.
+def _runs(hits: DataFrame, gap: int) -> DataFrame:
+    """``hits`` with ``__runs array<struct<first, last, found, targets>>``: runs of matches at most ``gap`` lines apart; files without a match go.
 
     Works on the row's own array: starts of runs first, then each run's slice.
     """
@@ -55,19 +55,36 @@ def with_groups(hits: DataFrame, gap: int) -> DataFrame:
             F.col("hits"), s + 1, F.when(k + 1 < F.size("__starts"), F.element_at("__starts", F.least(k + 2, F.size("__starts")))).otherwise(F.size("hits")) - s
         ),
     )
-    rows = rows.withColumn("__run", F.explode(runs))
-    return rows.select(
-        *(c for c in hits.columns if c != "hits"),
-        F.col("__run")[0]["no"].alias("first"),
-        F.element_at("__run", -1)["no"].alias("last"),
-        F.array_distinct(F.flatten(F.transform("__run", lambda h: h["found"]))).alias("found"),
-        F.transform("__run", lambda h: h["no"]).alias("targets"),
+    run = F.transform(
+        runs,
+        lambda r: F.struct(
+            r[0]["no"].alias("first"),
+            F.element_at(r, -1)["no"].alias("last"),
+            F.array_distinct(F.flatten(F.transform(r, lambda h: h["found"]))).alias("found"),
+            F.transform(r, lambda h: h["no"]).alias("targets"),
+        ),
     )
+    return rows.withColumn("__runs", run).drop("hits", "__starts")
+
+
+def with_groups(hits: DataFrame, gap: int) -> DataFrame:
+    """``file, first, last, found, targets`` for each run of matches."""
+    rows = _runs(hits, gap)
+    return rows.select(*(c for c in rows.columns if c not in ("lines", "__runs")), F.explode("__runs").alias("__g")).select("*", "__g.*").drop("__g")
+
 
+def windows(hits: DataFrame, gap: int, before: int, after: int) -> DataFrame:
+    """``with_groups`` with ``lo, hi`` (exclusive) and ``code_lines``: the lines around each run.
 
-def windows(groups: DataFrame, before: int, after: int) -> DataFrame:
-    """Adds ``lo, hi`` (exclusive): the lines around each run."""
-    return groups.withColumn("lo", F.greatest(F.lit(0), F.col("first") - before)).withColumn("hi", F.least(F.size("lines"), F.col("last") + after + 1))
+    They are cut inside the file's row, so that no run carries its whole file.
+    """
+    rows = _runs(hits, gap)
+
+    def around(r: Column) -> Column:
+        lo, hi = F.greatest(F.lit(0), r["first"] - before), F.least(F.size("lines"), r["last"] + after + 1)
+        return F.struct(r["first"].alias("first"), r["last"].alias("last"), r["found"].alias("found"), r["targets"].alias("targets"), lo.alias("lo"), hi.alias("hi"), code_of(F.col("lines"), lo, hi).alias("code_lines"))
+
+    return rows.select(*(c for c in rows.columns if c not in ("lines", "__runs")), F.explode(F.transform("__runs", around)).alias("__g")).select("*", "__g.*").drop("__g")
 
 
 def code_of(lines: Column, lo: Column, hi: Column) -> Column:
@@ -79,15 +96,30 @@ def as_text(lines: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
 
 
-def sliding_windows(corpus: DataFrame, size: int = fixed.WINDOW_LINES, stride: int = fixed.WINDOW_STRIDE) -> DataFrame:
-    """``file, lines, lo, hi``: windows up to the first that reaches the end."""
+def each_span(spans: DataFrame) -> DataFrame:
+    """``file, lines, lo, hi`` of ``file, lines, spans array<struct<lo, hi>>``."""
+    return spans.select("file", "lines", F.explode("spans").alias("b")).select("file", "lines", "b.lo", "b.hi")
+
+
+def sliding_spans(corpus: DataFrame, size: int = fixed.WINDOW_LINES, stride: int = fixed.WINDOW_STRIDE) -> DataFrame:
+    """``file, lines, spans``: windows up to the first that reaches the end; a file stays one row."""
     n = F.size("lines")
     starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(stride)), lambda s: (s == 0) | (s - stride + size < n))
-    return corpus.where(n > 0).select("file", "lines", F.explode(starts).alias("lo")).withColumn("hi", F.least(F.col("lo") + size, F.size("lines")))
+    return corpus.where(n > 0).select("file", "lines", F.transform(starts, lambda s: F.struct(s.alias("lo"), F.least(s + size, n).alias("hi"))).alias("spans"))
+
+
+def sliding_windows(corpus: DataFrame, size: int = fixed.WINDOW_LINES, stride: int = fixed.WINDOW_STRIDE) -> DataFrame:
+    """``file, lines, lo, hi`` of the windows."""
+    return each_span(sliding_spans(corpus, size, stride))
 
 
 def definition_blocks(corpus: DataFrame) -> DataFrame:
-    """``file, lines, lo, hi``: blocks that begin at definition lines of little indent.
+    """``file, lines, lo, hi`` of the blocks that begin at definition lines."""
+    return each_span(definition_spans(corpus))
+
+
+def definition_spans(corpus: DataFrame) -> DataFrame:
+    """``file, lines, spans``: blocks that begin at definition lines of little indent.
 
     Blocks of more than 90 lines are cut to windows of 70 lines 60 apart, until
     90 or fewer are left; a file without definitions gets windows of 60 lines
@@ -118,7 +150,7 @@ def definition_blocks(corpus: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), n - 1, F.lit(fixed.WINDOW_STRIDE)),
         lambda s: F.struct(s.alias("lo"), F.least(s + fixed.WINDOW_LINES, n).alias("hi")),
     )
-    return marked.select("file", "lines", F.explode(F.when(F.size("__begin") > 0, aligned).otherwise(plain)).alias("b")).select("file", "lines", "b.lo", "b.hi")
+    return marked.select("file", "lines", F.when(F.size("__begin") > 0, aligned).otherwise(plain).alias("spans"))
 
 
 def _block_spans(heads: list[int], indents: list[int], skips: list[bool]) -> tuple[list[int | None], list[int | None]]:
@@ -217,23 +249,89 @@ def _python_block(lines: list[str], target: int) -> tuple[int, int, int] | None:
     return begin, end, begin
 
 
-def function_regions(groups: DataFrame) -> DataFrame:
-    """Adds ``lo, hi, symbol``: the union of the blocks around a run's matches; the symbol is the first match's.
+def _python_spans(lines: list[str], targets: list[int]) -> list[tuple[int, int, int | None]]:
+    """``enclosing_block`` of many lines of one Python file, in one pass over it."""
+    header = re.compile(fixed.PYTHON_HEADER)
+    found = [header.match(x) for x in lines]
+    bare = [x.strip() for x in lines]
+    indents = [len(x) - len(x.lstrip()) if b else -1 for x, b in zip(lines, bare, strict=True)]
+    owners, ends = _block_spans([len(m.group(1)) if m else -1 for m in found], indents, [not b or b.startswith("#") for b in bare])
+    return [(owners[t], ends[t], owners[t]) if owners[t] is not None else (max(0, t - 20), min(len(lines), t + 21), None) for t in targets]
+
+
+def _brace_spans(lines: list[str], targets: list[int], language: str) -> list[tuple[int, int, int | None]]:
+    """``enclosing_block`` of many lines (rising) of one file with braces, in one pass over it.
 
-    Order-dependent scanning of one file's lines, so Arrow batches of Python; rows stay where they are.
+    Going up from a line, the block is the first opening line that leaves no
+    closing mark over: one with as many net closings before it as the line has
+    up to itself, or more.  Opening lines that a later one outdoes are dropped,
+    so those left fall, and the nearest that fits is found by bisection.
+    """
+    opens = re.compile(fixed.C_LIKE_OPEN if language == "c_like" else r"\{")
+    closes = re.compile(fixed.C_LIKE_CLOSE if language == "c_like" else r"\}")
+    wanted, spans = set(targets), {}
+    starts: list[int] = []
+    below: list[int] = []  # net closings before each of these, negated: rising
+    ends: dict[int, int] = {}
+    total = 0
+    for i, line in enumerate(lines):
+        found = len(opens.findall(line))
+        if found:
+            while below and below[-1] >= -total:
+                starts.pop()
+                below.pop()
+            starts.append(i)
+            below.append(-total)
+        total += len(closes.findall(line)) - found
+        if i in wanted:
+            place = bisect_right(below, -total)
+            if not place:
+                spans[i] = (max(0, i - 20), min(len(lines), i + 21), None)
+                continue
+            begin = starts[place - 1]
+            if begin not in ends:
+                balance, ends[begin] = 0, begin
+                for j in range(begin, min(begin + 500, len(lines))):
+                    balance += lines[j].count("{") - lines[j].count("}")
+                    if balance <= 0 and j > begin:
+                        ends[begin] = j
+                        break
+            spans[i] = (begin, max(min(ends[begin], i + 100), begin + 1), begin)
+    return [spans[t] for t in targets]
+
+
+def enclosing_blocks(lines: list[str], targets: list[int], language: str) -> list[tuple[int, int, int | None]]:
+    """``enclosing_block`` of each of the lines (rising), in time linear in the file."""
+    return _python_spans(lines, targets) if language == "python" else _brace_spans(lines, targets, language)
+
+
+def function_regions(hits: DataFrame, gap: int, code: bool = True) -> DataFrame:
+    """``file, first, last, found, targets, lo, hi, symbol`` and, if asked for, ``code_lines``.
+
+    A region is the union of the blocks around a run's matches; the symbol is
+    the first match's.  Order-dependent scanning of one file's lines, so Arrow
+    batches of Python; a file is one row until its runs are known.
     """
-    source = groups.withColumn("language", X.language(F.col("file")))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in groups.schema)}, lo int, hi int, header string"
+    source = _runs(hits, gap).select("file", "lines", "__runs", X.language(F.col("file")).alias("language"))
+    names = ["file", "first", "last", "found", "targets", "lo", "hi", "header", *(["code_lines"] if code else [])]
+    schema = "file string, first int, last int, found array<int>, targets array<int>, lo int, hi int, header string" + ", code_lines array<string>" * code
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            los, his, heads = [], [], []
-            for lines, targets, language in zip(batch["lines"], batch["targets"], batch["language"], strict=True):
-                lines = list(lines)
-                found = [enclosing_block(lines, int(t), language) for t in targets]
-                los.append(min(b[0] for b in found))
-                his.append(max(b[1] for b in found))
-                heads.append(lines[found[0][2]] if found[0][2] is not None else None)
-            yield batch.drop(columns="language").assign(lo=los, hi=his, header=heads)
+            rows, held = [], 0
+            for file, lines, runs, language in zip(batch["file"], batch["lines"], batch["__runs"], batch["language"], strict=True):
+                lines, targets = list(lines), [list(r["targets"]) for r in runs]
+                spans = iter(enclosing_blocks(lines, [t for ts in targets for t in ts], language))
+                for r, ts in zip(runs, targets, strict=True):
+                    found = [next(spans) for _ in ts]
+                    lo, hi, head = min(b[0] for b in found), max(b[1] for b in found), found[0][2]
+                    row = (file, r["first"], r["last"], r["found"], ts, lo, hi, lines[head] if head is not None else None)
+                    rows.append((*row, lines[lo:hi]) if code else row)
+                    held += 1 + code * (hi - lo)
+                    if held >= 50_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return source.mapInPandas(run, schema).withColumn("symbol", X.symbol_of(F.col("header"))).drop("header")

@@ -110,8 +110,8 @@ def _symbol(c: P.Slice) -> str:
 def lexical_chunks(corpus: DataFrame, query: Q.CompiledQuery) -> DataFrame:
     """Matching, grouping, bounding, scoring and deduplication; ``corpus`` has ``file, lines``."""
     o = query.options
-    groups = S.with_groups(S.with_hits(corpus, query.patterns), o.before + o.after)
-    bounded = S.function_regions(groups) if o.boundary == "fn" else S.windows(groups, o.before, o.after)
+    hits, gap = S.with_hits(corpus, query.patterns), o.before + o.after
+    bounded = S.function_regions(hits, gap) if o.boundary == "fn" else S.windows(hits, gap, o.before, o.after)
     return C.without_near_duplicates(C.scored(C.regions(bounded), query.patterns), 0.7 if o.dedupe else 2.0)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -357,3 +358,29 @@ def test_links_of_similar_documents_by_brute_force(spark):
     first = {s: i for i, s in reversed(list(enumerate(plain)))}
     links = {s: sum(1 for t in first if t != s and s & t and len(s & t) / len(s | t) >= 0.5) for s in first}
     assert got == {i: (first[s], links[s]) for i, s in enumerate(plain)}
+
+
+def test_blocks_of_many_lines_agree_with_the_procedure():
+    rng = random.Random(5)
+    kinds = ["def f{i}():", "class C{i} {", "if (a{i}) {", "} else {", "}", "", "# note", "x{i} = {{}}", "fn g{i}() {{ a }}", "    return {i}", "}}", "{{"]
+    for _ in range(300):
+        lines = [" " * 4 * rng.randrange(3) + rng.choice(kinds).replace("{i}", str(i)) for i in range(rng.randrange(1, 50))]
+        targets = sorted(rng.sample(range(len(lines)), rng.randrange(1, len(lines) + 1)))
+        for language in ("python", "c_like", "brace"):
+            assert S.enclosing_blocks(lines, targets, language) == [S.enclosing_block(lines, t, language) for t in targets], (language, lines)
+
+
+def test_regions_of_a_long_file_take_linear_time(spark):
+    n = 8000
+    lines = [x for i in range(n) for x in (f"def part_{i}(size):", "    # note", "    total = size", "    return total", "")]
+    hits = S.with_hits(spark.createDataFrame([("long.py", lines)], "file string, lines array<string>"), ["return", "size"])
+    began = time.monotonic()
+    rows = S.function_regions(hits, 1, code=False).collect()
+    around = S.windows(hits, 1, 1, 1)
+    assert "lines" not in around.columns
+    wide = around.select("first", "lo", "hi", "code_lines").collect()
+    assert time.monotonic() - began < 40  # each run carried its whole file: 16,000 copies of 40,000 lines
+    assert sorted((r["first"], r["last"], r["lo"], r["hi"], r["symbol"]) for r in rows) == sorted(
+        (5 * i + a, 5 * i + b, 5 * i, 5 * i + 5, f"part_{i}") for i in range(n) for a, b in ((0, 0), (2, 3))
+    )
+    assert all(r["code_lines"] == lines[r["lo"] : r["hi"]] and r["lo"] == max(0, r["first"] - 1) for r in wide) and len(wide) == 2 * n
