@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import subprocess
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -384,3 +387,26 @@ def test_regions_of_a_long_file_take_linear_time(spark):
         (5 * i + a, 5 * i + b, 5 * i, 5 * i + 5, f"part_{i}") for i in range(n) for a, b in ((0, 0), (2, 3))
     )
     assert all(r["code_lines"] == lines[r["lo"] : r["hi"]] and r["lo"] == max(0, r["first"] - 1) for r in wide) and len(wide) == 2 * n
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _history(spark, commits: int, seed: int):
+    rng = random.Random(seed)
+    rows = [(c, 86400 * c, f"f{f}", rng.randrange(1, 9)) for c in range(commits) for f in rng.sample(range(12), rng.randrange(1, 13))]
+    return rows, spark.createDataFrame(rows, "commit_id int, ts long, file string, changed int")
+
+
+def test_pairs_go_through_the_shuffle_once_and_unpacked(spark):
+    rows, df = _history(spark, 60, 7)
+    members = {}
+    for c, _, f, _ in rows:
+        members.setdefault(c, set()).add(f)
+    wanted = Counter((a, b) for m in members.values() if 2 <= len(m) <= 10 for a in m for b in m if a != b)
+    found = H.pairs(df.unionByName(df))  # a file twice in a commit counts once
+    assert {(r.a, r.b): r.n for r in found.collect()} == wanted
+    plan = _plan(found)
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan.split("REPARTITION_BY_NUM")[0]  # counted where they are dealt
+    assert re.search(r"Filter[^\n]*a#\d+ < b#\d+", plan)
