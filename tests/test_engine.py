@@ -410,3 +410,23 @@ def test_pairs_go_through_the_shuffle_once_and_unpacked(spark):
     plan = _plan(found)
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan.split("REPARTITION_BY_NUM")[0]  # counted where they are dealt
     assert re.search(r"Filter[^\n]*a#\d+ < b#\d+", plan)
+
+
+def test_only_the_anchors_commits_make_pairs(spark):
+    rows, df = _history(spark, 60, 8)
+    anchors = spark.createDataFrame([("f1", 0.75), ("f5", 0.25)], "anchor string, weight double")
+    wanted = {(r.a, r.b, r.n) for r in H.pairs(df).collect() if r.a in ("f1", "f5")}
+    found = H.anchored_pairs(df, anchors)
+    assert {tuple(r) for r in found.collect()} == wanted and wanted
+    plan = _plan(H.cochange_scores(df, anchors))
+    assert "REPARTITION_BY_NUM" not in plan and re.search(r"BroadcastHashJoin \[a#\d+\], \[a#\d+\], LeftSemi", plan)  # before b is made
+    total = len({c for c, *_ in rows})
+    raw = {}
+    times = Counter(f for _, _, f, _ in rows)
+    weights = {"f1": 0.75, "f5": 0.25}
+    for a, b, n in wanted:
+        lift = math.log((n / total + 1 / (4 * total)) / (times[a] / total * times[b] / total + 1 / (4 * total)))
+        if lift > 0:
+            raw[b] = raw.get(b, 0) + weights[a] * lift
+    got = {r.file: r.c for r in H.cochange_scores(df, anchors).collect()}
+    assert got == pytest.approx({f: v / max(raw.values()) for f, v in raw.items()})
