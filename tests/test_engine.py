@@ -430,3 +430,16 @@ def test_only_the_anchors_commits_make_pairs(spark):
             raw[b] = raw.get(b, 0) + weights[a] * lift
     got = {r.file: r.c for r in H.cochange_scores(df, anchors).collect()}
     assert got == pytest.approx({f: v / max(raw.values()) for f, v in raw.items()})
+
+
+def test_churn_counts_a_commits_files_without_meeting_itself(spark):
+    rows, df = _history(spark, 20, 9)
+    found = H.churn(df)
+    assert "SortMergeJoin" not in _plan(found) and "BroadcastHashJoin" not in _plan(found)
+    files = Counter(c for c, *_ in rows)
+    now = max(ts for _, ts, _, _ in rows)
+    sums = {}
+    for c, ts, f, changed in rows:
+        sums[f] = sums.get(f, 0) + math.log(1 + changed) / math.sqrt(files[c]) * math.exp(-(now - ts) / (90 * 86400))
+    raw = {f: math.log(1 + s) for f, s in sums.items()}
+    assert {r.file: r.w for r in found.collect()} == pytest.approx({f: v / max(raw.values()) for f, v in raw.items()})
