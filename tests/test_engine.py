@@ -443,3 +443,11 @@ def test_churn_counts_a_commits_files_without_meeting_itself(spark):
         sums[f] = sums.get(f, 0) + math.log(1 + changed) / math.sqrt(files[c]) * math.exp(-(now - ts) / (90 * 86400))
     raw = {f: math.log(1 + s) for f, s in sums.items()}
     assert {r.file: r.w for r in found.collect()} == pytest.approx({f: v / max(raw.values()) for f, v in raw.items()})
+
+
+def test_a_hunks_symbol_is_found_once(spark):
+    contexts = ["def part_1(size):", "def _x12(a):", "import foo", "def abc(x)", "self.call_me(x)", None, "class print:"]
+    df = spark.createDataFrame([(1, c) for c in contexts * 2], "commit_id int, context string")
+    found = H.hunk_symbols(df)
+    assert sorted(r.symbol for r in found.collect()) == ["call_me", "part_1"]
+    assert _plan(found).count("regexp_extract(context") <= 8  # of the partial plan's one generator; conditions repeated it
