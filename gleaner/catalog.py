@@ -165,7 +165,7 @@ BUDGET = 400
 
 
 def _windows(spark, sf_dir):
-    return S.sliding_windows(_documents(spark, sf_dir))
+    return S.sliding_spans(_documents(spark, sf_dir))
 
 
 def i_bm25_topk(spark, sf_dir):
@@ -179,7 +179,7 @@ def i_recall_code(spark, sf_dir):
 
 
 def i_tfidf_window_topk(spark, sf_dir):
-    best = R.top(R.tfidf_windows(*R.index(_windows(spark, sf_dir)), {w: 1 for w in Q.sem_tokens(QUESTION)}), "s")
+    best = R.top(R.tfidf(_windows(spark, sf_dir), {w: 1 for w in Q.sem_tokens(QUESTION)}), "s")
     return best.select("file", *_long("lo", "hi"), F.round("s", 6).alias("s"))
 
 
@@ -190,7 +190,7 @@ def i_dense_topk(spark, sf_dir):
 
 def _fused(spark, sf_dir):
     docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), X.lines_of(F.col("text")).alias("lines"))
-    whole = docs.where(F.size("lines") > 0).withColumn("lo", F.lit(0)).withColumn("hi", F.size("lines"))
+    whole = docs.where(F.size("lines") > 0).withColumn("spans", F.array(F.struct(F.lit(0).alias("lo"), F.size("lines").alias("hi"))))
     lexical = R.bm25(whole, Q.query_tokens("the thing and")).select(F.col("file").cast("bigint").alias("id"), "s")
     sims = R.dense(T.table(spark, sf_dir, "embeddings"), 7).select(F.col("vec_id").alias("id"), "sim")
     return R.fused(lexical.join(sims.select("id"), "id", "left_semi"), sims, "id")
@@ -260,8 +260,9 @@ def _candidates(spark, sf_dir):
     lexical = chunks.withColumn("r", F.row_number().over(best)).where(F.col("r") <= fixed.RERANK_HEAD).select(*fields)
     found = R.bm25(_windows(spark, sf_dir), Q.query_tokens(QUESTION)).withColumn("query_id", query)
     top = Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), F.desc("file"), F.desc("lo"))
-    few = found.withColumn("r", F.row_number().over(top)).withColumn("top", F.max("s").over(Window.partitionBy("query_id"))).where(F.col("r") <= fixed.RECALL_LIMIT)
-    rows = few.join(_documents(spark, sf_dir), "file").withColumn("code", S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))))
+    peaks = found.groupBy("query_id").agg(F.max("s").alias("top"))  # one row for each source, as 40 of the blocks
+    few = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= fixed.RECALL_LIMIT).join(F.broadcast(peaks), "query_id")
+    rows = F.broadcast(few).join(_documents(spark, sf_dir), "file").withColumn("code", S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))))
     recalled = (
         rows.withColumn("origin", F.lit("recall")).withColumn("line_start", F.col("lo") + 1).withColumn("line_end", F.col("hi"))
         .withColumn("score", (5 + F.floor(30 * F.col("s") / F.col("top"))).cast("double")).withColumn("tokens", X.estimated_tokens(F.col("code")))
@@ -346,9 +347,9 @@ def r_bm25_windows(spark, sf_dir):
 
 
 def r_tfidf_budget(spark, sf_dir):
-    found = R.tfidf_windows(*R.index(_windows(spark, sf_dir)), {w: 1 for w in Q.sem_tokens(QUESTION)}, X.idf_plain)
+    found = R.tfidf(_windows(spark, sf_dir), {w: 1 for w in Q.sem_tokens(QUESTION)}, X.idf_plain)
     best = found.orderBy(F.desc(F.round("s", 9)), F.desc("file"), F.desc("lo")).limit(50)
-    rows = best.join(_documents(spark, sf_dir), "file").withColumn("tokens", X.estimated_tokens(S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))))).withColumn("one", F.lit(0))
+    rows = F.broadcast(best).join(_documents(spark, sf_dir), "file").withColumn("tokens", X.estimated_tokens(S.as_text(S.code_of(F.col("lines"), F.col("lo"), F.col("hi"))))).withColumn("one", F.lit(0))
     kept = P.running_cap(rows, E.RETRIEVER_TOKENS, ["one"], [F.desc(F.round("s", 9)), F.desc("file"), F.desc("lo")])
     return kept.select("file", *_long("lo", "hi"), "tokens")
 

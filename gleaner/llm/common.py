@@ -5,15 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import math
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import shared_dir
+from gleaner.session import clear_scratch, delete_path, discard, materialise, scratch_path, shared_dir
 
+__all__ = ["clear_scratch", "delete_path", "discard", "materialise", "scratch_path", "shared_dir"]  # the session's, under the names used here
 SHARES = 1 << 30
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -31,40 +31,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared checkpoint directory, in this application's own."""
-    return f"{shared_dir(spark).rstrip('/')}/gleaner-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors.
-
-    ``discard`` deletes it; what a lazy result still reads stays until ``clear_scratch``.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
-    written._gleaner_scratch = path
-    return written
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for these frames; everything computed from them must be written by now."""
-    for frame in frames:
-        delete_path(frame.sparkSession, frame._gleaner_scratch)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all scratch of this application; call it when the results are written."""
-    delete_path(spark, f"{shared_dir(spark).rstrip('/')}/gleaner-{spark.sparkContext.applicationId}")
-
-
 def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those of smallest hash of ``key`` (then key), so the choice is repeatable.
 

@@ -51,14 +51,13 @@ def ranked_files(corpus: DataFrame, query: Q.CompiledQuery, budget: int = CONTEX
     return P.running_cap(best.withColumn("one", F.lit(0)), budget, ["one"], [F.desc("score"), F.col("file")]).drop("one")
 
 
-def bm25_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))
+PLAIN = R.Tokens("[a-z0-9_]{2,}", lambda word: [word], lower=True)
 
 
 def bm25_windows(corpus: DataFrame, query: Q.CompiledQuery, limit: int = 50) -> DataFrame:
     """``file, lo, hi, s`` of the best line windows by BM25 with the usual library's constants (k1 1.5, b 0.75)."""
     words = re.findall(r"[a-z0-9_]{2,}", query.text.replace("\\", "").replace("|", " ").lower())
-    return R.top(R.bm25(S.sliding_windows(corpus), {w: words.count(w) for w in words}, bm25_tokens, 1.5, 0.75), "s", limit)
+    return R.top(R.bm25(S.sliding_spans(corpus), {w: words.count(w) for w in words}, PLAIN, 1.5, 0.75), "s", limit)
 
 
 def syntax_chunks(corpus: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def as_text(lines: Column) -> Column:
 
 
 def each_span(spans: DataFrame) -> DataFrame:
-    """``file, lines, lo, hi`` of ``file, lines, spans array<struct<lo, hi>>``."""
-    return spans.select("file", "lines", F.explode("spans").alias("b")).select("file", "lines", "b.lo", "b.hi")
+    """``file, lo, hi`` of ``file, spans array<struct<lo, hi>>``."""
+    return spans.select("file", F.explode("spans").alias("b")).select("file", "b.lo", "b.hi")
 
 
 def sliding_spans(corpus: DataFrame, size: int = fixed.WINDOW_LINES, stride: int = fixed.WINDOW_STRIDE) -> DataFrame:
@@ -109,12 +109,12 @@ def sliding_spans(corpus: DataFrame, size: int = fixed.WINDOW_LINES, stride: int
 
 
 def sliding_windows(corpus: DataFrame, size: int = fixed.WINDOW_LINES, stride: int = fixed.WINDOW_STRIDE) -> DataFrame:
-    """``file, lines, lo, hi`` of the windows."""
+    """``file, lo, hi`` of the windows."""
     return each_span(sliding_spans(corpus, size, stride))
 
 
 def definition_blocks(corpus: DataFrame) -> DataFrame:
-    """``file, lines, lo, hi`` of the blocks that begin at definition lines."""
+    """``file, lo, hi`` of the blocks that begin at definition lines."""
     return each_span(definition_spans(corpus))
 
 
