@@ -398,7 +398,7 @@ def r_symbol_tasks(spark, sf_dir):
 
 
 def r_comprehension_tasks(spark, sf_dir):
-    return E.comprehension_tasks(T.code_lines(spark, sf_dir))
+    return E.comprehension_tasks(T.code_corpus(spark, sf_dir))
 
 
 def r_summary(spark, sf_dir):

@@ -253,10 +253,14 @@ def symbol_tasks(lines: DataFrame) -> DataFrame:
     return lines.withColumn("name", name).where("name <> ''").select("file", "line_no", "name", F.col("name").alias("query"))
 
 
-def comprehension_tasks(lines: DataFrame) -> DataFrame:
-    """A definition asked for by up to three words of the comment or docstring line after it."""
-    after = F.lead("line").over(Window.partitionBy("file").orderBy("line_no"))
-    defined = symbol_tasks(lines.withColumn("next", after)).join(lines.withColumn("next", after).select("file", "line_no", "next"), ["file", "line_no"])
+def comprehension_tasks(corpus: DataFrame) -> DataFrame:
+    """A definition asked for by up to three words of the comment or docstring line after it; ``corpus`` has ``file, lines``.
+
+    The next line is looked up in the file's own row, so lines are neither sorted nor joined.
+    """
+    named = r"^\s*(?:async\s+)?(?:def|class)\s+([A-Za-z_]\w{3,})"
+    at = F.transform("lines", lambda x, i: F.struct(i.cast("bigint").alias("line_no"), F.regexp_extract(x, named, 1).alias("name"), F.get("lines", i + 1).alias("next")))
+    defined = corpus.select("file", F.explode(F.filter(at, lambda d: d["name"] != "")).alias("d")).select("file", "d.*")
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("next"), F.lit("[a-z]{5,}"), F.lit(0))), lambda w: ~F.col("name").contains(w))
     return defined.withColumn("words", F.slice(words, 1, 3)).where(F.size("words") >= 2).select("file", "line_no", "name", F.array_join("words", "|").alias("query"))
 
