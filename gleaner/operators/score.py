@@ -11,6 +11,7 @@ from gleaner.functions import fixed
 from gleaner.functions import text as X
 from gleaner.operators import segment as S
 from gleaner.plans import query as Q
+from gleaner.session import materialise
 
 
 def regions(groups: DataFrame) -> DataFrame:
@@ -144,9 +145,12 @@ def near_duplicate_links(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
 def tfidf_cosine(chunks: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
     """``id_col, cosine`` of the candidates that share a word with the query; idf from the candidates alone.
 
-    Query words that no candidate has weigh ln(1 + n) in the query's norm.
+    Query words that no candidate has weigh ln(1 + n) in the query's norm.  The
+    candidates are written to the shared folder first, for they are read several
+    times and are the best of a ranking of everything.
     """
     spark = chunks.sparkSession
+    chunks = materialise(chunks.select(id_col, text_col), "rerank")
     tf = chunks.select(id_col, F.explode(X.exact_tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
     n = chunks.agg(F.count("*").alias("n"))
     vocabulary = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).withColumn("idf", X.idf_smooth(F.col("n"), F.col("df")))  # n is one row
@@ -161,7 +165,9 @@ def tfidf_cosine(chunks: DataFrame, id_col: str, text_col: str, words: list[str]
         F.sum(F.coalesce(F.col("w") * F.col("q"), F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
     norm = F.col("norm") * F.col("norm_q")
-    return scored.crossJoin(F.broadcast(norm_q)).where("dot > 0").select(id_col, (F.col("dot") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).alias("cosine"))
+    cosines = scored.crossJoin(F.broadcast(norm_q)).where("dot > 0").select(id_col, (F.col("dot") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).alias("cosine"))
+    cosines._gleaner_scratch = chunks._gleaner_scratch
+    return cosines
 
 
 def reranked(chunks: DataFrame, query: Q.CompiledQuery, head: int = fixed.RERANK_HEAD) -> DataFrame:
@@ -172,7 +178,9 @@ def reranked(chunks: DataFrame, query: Q.CompiledQuery, head: int = fixed.RERANK
     joined = chunks.withColumn("__id", F.concat_ws(":", "file", "line_start")).join(few, "__id", "left")
     plus = F.coalesce("__bonus", F.lit(0))
     tagged = F.when(plus >= 4, F.concat("rank_reason", F.array(F.lit("semantic")))).otherwise(F.col("rank_reason"))
-    return joined.withColumn("score", F.col("score") + plus).withColumn("rank_reason", tagged).drop("__id", "__bonus")
+    out = joined.withColumn("score", F.col("score") + plus).withColumn("rank_reason", tagged).drop("__id", "__bonus")
+    out._gleaner_scratch = bonus._gleaner_scratch
+    return out
 
 
 def re_words(query: Q.CompiledQuery) -> list[str]:

@@ -18,6 +18,7 @@ from gleaner.operators import recall as R
 from gleaner.operators import score as C
 from gleaner.operators import segment as S
 from gleaner.plans import query as Q
+from gleaner.session import discard
 from gleaner.sources import tables as T
 
 CANDIDATE_LIMIT = 2000  # scored chunks whose text packing under a budget looks at; of the rest only the places are listed
@@ -157,6 +158,7 @@ def focused_read(
         searched = max(1, source.count()) if not single else 1
     finally:
         chunks.unpersist()
+        discard(chunks)
     recalled: list[P.Slice] = []
     file_scores = None
     if not single and options.semantic and options.budget > 0:
