@@ -77,7 +77,8 @@ def d_sliding_windows(spark, sf_dir):
 
 def e_semantic_tokens(spark, sf_dir):
     text = T.table(spark, sf_dir, "documents").select("text").unionByName(T.code_lines(spark, sf_dir).select(F.col("line").alias("text")))
-    return text.select(F.explode(X.sem_tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    words = text.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(R.SEM.pattern), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select(F.explode(X.sem_tokens(F.col("word"))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))  # each distinct word is cut once
 
 
 def e_exact_token_df(spark, sf_dir):
